@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidlake.llm import decontam, exact_dedup, mixing, simhash, urlfilter
+from braidlake.llm import decontam, exact_dedup, licenses, mixing, simhash, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         op3_simhash_dedup,
         op4_decontamination,
+        op6_warc,
+        op7_license_scan,
         op8_exact_dedup,
         op9_url_filter,
         op10_source_mix,
@@ -69,6 +79,18 @@ seen as (
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(s.n_items, 0) as n_items,
   sha256(coalesce(s.list, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(d.w) as contaminated
 from docs d left join hits h on d.doc_id = h.doc_id left join seen s on d.doc_id = s.doc_id""",
+    "op6_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+g as (select page_id, octet_length(b) as payload_bytes, sha1(b) as hex, max(page_id) over (partition by b) as first from p),
+bits as (
+  select *, array_to_string(list_transform(string_split(hex, ''), lambda c: right(bin(instr('0123456789abcdef', c) - 1 + 16), 4)), '') as bits from g)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1
+    + 16 * cast(substr(bits, 5 * k + 1, 1) as int) + 8 * cast(substr(bits, 5 * k + 2, 1) as int) + 4 * cast(substr(bits, 5 * k + 3, 1) as int)
+    + 2 * cast(substr(bits, 5 * k + 4, 1) as int) + cast(substr(bits, 5 * k + 5, 1) as int) as bigint), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from bits""",
+    "op7_license_scan": licenses.oracle(),
     "op8_exact_dedup": r"""
 with n as (
   select doc_id, length(coalesce(text, '')) as cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents),
