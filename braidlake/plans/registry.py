@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from braidlake.plans import core, scalars, versioned
+
+_MODULES = (core, scalars, versioned)  # each registers its queries
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(core.QUERIES)
+ORACLE: dict[str, str] = dict(core.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
