@@ -81,7 +81,7 @@ class Lattice:
                     alpha[b, hit] = np.logaddexp(alpha[b, hit], alpha[a, hit] + self.logp[ids])
         return alpha
 
-    def _by_length(self, words: list[bytes], most: int = 50_000):
+    def _by_length(self, words: list[bytes], most: int = 20_000):
         lengths = np.array([len(w) for w in words])
         for n in np.unique(lengths):
             if n <= WIDE:
@@ -100,6 +100,26 @@ class Lattice:
                 out[i] = self._long(w)
         return out + self.log_stop
 
+    def log_probabilities_by(self, words: list[bytes], logs: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """log_probabilities under several sets of weights (rows of logs) at once: word x set. The pieces in the words are looked up once."""
+        out = np.zeros((len(words), len(logs)))
+        for which, rows in self._by_length(words):
+            n, edges = rows.shape[1], self._edges(rows)
+            alpha = np.full((n + 1, len(rows), len(logs)), -np.inf)
+            alpha[0] = 0.0
+            for b in range(1, n + 1):
+                for a in range(max(0, b - LONGEST), b):
+                    if (a, b) in edges:
+                        hit, ids = edges[a, b]
+                        alpha[b, hit] = np.logaddexp(alpha[b, hit], alpha[a, hit] + logs.T[ids])
+            out[which] = alpha[n]
+        if wide := [i for i, w in enumerate(words) if len(w) > WIDE]:
+            for k, (logp, stop) in enumerate(zip(logs, stops, strict=True)):
+                one = Lattice(self.pieces, logp, stop)
+                for i in wide:
+                    out[i, k] = one._long(words[i])
+        return out + stops
+
     def _long(self, word: bytes) -> float:
         """One long word; holds the last LONGEST sums only."""
         if self.by_piece is None:

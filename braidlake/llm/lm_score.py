@@ -16,11 +16,13 @@ from braidlake.llm.lattice import Lattice, normalised, read_vocabulary
 
 #: Rounds of re-estimation of the piece weights, weight of the vocabulary's own scores in pieces, discount of word counts, weight of the corpus against a text's own words so far.
 ROUNDS, PRIOR, DISCOUNT, STRENGTH = 3, 200.0, 0.6, 3000.0
+#: Classes of training texts at most, and the share of a word's probability that all classes together give.
+CLASSES, SHARED = 5, 0.05
 HELD_OUT = 1
-#: The end of a text, which no word equals.
-END = b""
+#: The end of a text, which no word equals; the class of texts that nothing is learned from.
+END, NO_CLASS = b"", -1
 
-_PAIRS = "part int, block int, words binary, counts binary"
+_PAIRS = "part int, block int, cls int, words binary, counts binary"
 _TYPES = "words binary, counts binary"
 
 
@@ -35,97 +37,118 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _packed(words: list[bytes], counts: np.ndarray, part: int, block: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([b"\n".join(words)], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], names=["part", "block", "words", "counts"])
-
-
 def _vocabularies(texts: DataFrame, parts: int) -> DataFrame:
-    """For each block of documents and part of the words: the block's different words there and their counts in training texts."""
+    """For each block of documents, class and part of the words: the different words there and their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {}
+        seen: dict[tuple[int, int], Counter] = {}
         for b in batches:
-            for block, held, t in zip(b.column("block").to_pylist(), b.column("held_out").to_pylist(), byte_texts(b.column("text")), strict=True):
-                c = seen.setdefault(block, Counter())
+            for block, cls, t in zip(b.column("block").to_pylist(), b.column("cls").to_pylist(), byte_texts(b.column("text")), strict=True):
+                c = seen.setdefault((block, cls), Counter())
                 w = words_of(t)
                 w.append(END)
-                c.update(dict.fromkeys(w, 0) if held else w)
-        for block, c in seen.items():
+                c.update(dict.fromkeys(w, 0) if cls == NO_CLASS else w)
+        for (block, cls), c in seen.items():
             split: list[list[bytes]] = [[] for _ in range(parts)]
             for w in c:
                 split[zlib.crc32(w) % parts].append(w)
             for part, words in enumerate(split):
                 if words:
-                    yield _packed(words, np.array([c[w] for w in words]), part, block)
+                    counts = np.array([c[w] for w in words], dtype=np.int64).tobytes()
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (part, block, cls)), pa.array([b"\n".join(words)], pa.binary()), pa.array([counts], pa.binary())], names=["part", "block", "cls", "words", "counts"])
 
     return texts.mapInArrow(run, _PAIRS)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, list[bytes], np.ndarray]]]:
-    held: dict[int, list[tuple[int, list[bytes], np.ndarray]]] = {}
-    for b in batches:
-        for part, block, words, counts in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            held.setdefault(part, []).append((block, words.split(b"\n"), np.frombuffer(counts, np.int64)))
-    return held
+class _Part:
+    """One part of the words: the place of each different word, its counts by class, and each block's places."""
 
+    def __init__(self, classes: int):
+        self.classes, self.place = classes, {}
+        self.adds: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.blocks: dict[int, list[np.ndarray]] = {}
 
-def _totals(rows: list[tuple[int, list[bytes], np.ndarray]]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Place and count of each different word of a part."""
-    place: dict[bytes, int] = {}
-    for _, words, _ in rows:
-        for w in words:
-            place.setdefault(w, len(place))
-    total = np.zeros(len(place), dtype=np.int64)
-    for _, words, counts in rows:
-        np.add.at(total, [place[w] for w in words], counts)
-    return place, total
+    def add(self, block: int, cls: int, words: list[bytes], counts: np.ndarray) -> None:
+        place = self.place
+        at = np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int64)
+        self.blocks.setdefault(block, []).append(at)
+        if cls != NO_CLASS:
+            self.adds.append((cls, at, counts))
 
+    def totals(self) -> np.ndarray:
+        out = np.zeros((len(self.place), self.classes), dtype=np.int64)
+        for cls, at, counts in self.adds:  # a block's words of a class are different ones
+            out[at, cls] += counts
+        return out
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], classes: int) -> list[_Part]:
+    held: dict[int, _Part] = {}
+    for b in batches:
+        for part, block, cls, words, counts in zip(*(b.column(c).to_pylist() for c in ("part", "block", "cls", "words", "counts")), strict=True):
+            held.setdefault(part, _Part(classes)).add(block, cls, words.split(b"\n"), np.frombuffer(counts, np.int64))
+    return list(held.values())
 
-def _counted(pairs: DataFrame, parts: int) -> DataFrame:
-    """The training words and their counts over the corpus, a row for each part."""
+
+def _counted(pairs: DataFrame, parts: int, classes: int) -> DataFrame:
+    """The training words and their counts by class over the corpus, a row for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches).values():
-            place, total = _totals(rows)
-            words = [w for w, n in zip(place, total, strict=True) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(words)] if words else [None], pa.binary()), pa.array([total[total > 0].tobytes()], pa.binary())], names=["words", "counts"])
+        for p in _by_part(batches, classes):
+            total = p.totals()
+            known = total.sum(axis=1) > 0
+            words = [w for w, k in zip(p.place, known, strict=True) if k]
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(words)], pa.binary()), pa.array([total[known].tobytes()], pa.binary())], names=["words", "counts"])
 
     return pairs.repartition(parts, "part").mapInArrow(run, _TYPES)
 
 
-def _estimated(types: DataFrame, lattice: Lattice) -> np.ndarray:
-    """Expected uses of each piece over the segmentations of all different training words; summed by Spark, one row for each piece."""
+def _estimated(types: DataFrame, lattices: list[Lattice]) -> np.ndarray:
+    """Expected uses of each piece in each class over the segmentations of the class's different training words; summed by Spark, at most a row for each piece and class."""
+    shape = (len(lattices), len(lattices[0].pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(lattice.pieces))
+        total = np.zeros(shape)
         for b in batches:
-            for words in b.column("words").to_pylist():
-                if words is not None:
-                    total += lattice.expected([w for w in words.split(b"\n") if w])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "n"])
-
-    out = np.zeros(len(lattice.pieces))
-    for r in types.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # at most one row per piece of the vocabulary
-        out[r["piece"]] = r["n"]
+            for words, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                n, words = np.frombuffer(counts, np.int64).reshape(-1, shape[0]), words.split(b"\n")
+                for k, lattice in enumerate(lattices):
+                    total[k] += lattice.expected([words[i] for i in np.flatnonzero(n[:, k]) if words[i]])
+        k, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(total[k, at])], names=["cls", "piece", "n"])
+
+    out = np.zeros(shape)
+    for r in types.mapInArrow(run, "cls int, piece long, n double").groupBy("cls", "piece").agg(F.sum("n").alias("n")).collect():
+        out[r["cls"], r["piece"]] = r["n"]
     return out
 
 
-def _statistics(types: DataFrame) -> tuple[int, int, int]:
-    """Tokens with ends, different tokens, ends in training texts."""
+def _statistics(types: DataFrame, classes: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Different tokens in all; tokens with ends, different tokens and ends of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for words, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                n = np.frombuffer(counts, np.int64)
-                ends = int(n[words.split(b"\n").index(END)]) if words is not None and (words == b"" or words[:1] == b"\n" or words[-1:] == b"\n" or b"\n\n" in words) else 0
-                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(n)]), pa.array([ends])], names=["n", "v", "ends"])
+                n = np.frombuffer(counts, np.int64).reshape(-1, classes)
+                words = words.split(b"\n")
+                ends = n[words.index(END)] if END in words else np.zeros(classes, np.int64)
+                for k in range(classes):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(n[:, k].sum())]), pa.array([int((n[:, k] > 0).sum())]), pa.array([int(ends[k])]), pa.array([len(n) if not k else 0])], names=["cls", "n", "v", "ends", "every"])
+
+    every, n, v, ends = 0, *np.zeros((3, classes), np.int64)
+    for r in types.mapInArrow(run, "cls long, n long, v long, ends long, every long").groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("n", "v", "ends", "every")]).collect():
+        n[r["cls"]], v[r["cls"]], ends[r["cls"]] = r["n"], r["v"], r["ends"]
+        every += r["every"]
+    return every, n, v, ends
 
-    r = types.mapInArrow(run, "n long, v long, ends long").agg(F.sum("n"), F.sum("v"), F.sum("ends")).first()
-    return r[0] or 0, r[1] or 0, r[2] or 0
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, held_out: int = HELD_OUT, rounds: int = ROUNDS, prior: float = PRIOR, discount: float = DISCOUNT, strength: float = STRENGTH) -> DataFrame:
+
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, vocabulary: str | None = None, held_out: int = HELD_OUT, rounds: int = ROUNDS, prior: float = PRIOR, discount: float = DISCOUNT, strength: float = STRENGTH, classes: int = CLASSES, shared: float = SHARED) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token) per row of df.
 
     Tokens are the text's words and one end. score is log10 of the text's probability. A word's probability is its
@@ -133,12 +156,16 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     times its lattice probability: the sum over all its segmentations into pieces of the existing vocabulary, by the forward
     recursion in log space. The pieces' weights start from the vocabulary's scores, which stay in as a prior, and are
     re-estimated by expectation maximisation over all different training words. Within a text, each word also draws on the
-    words before it (Polya's urn with `strength` for the corpus), so the probabilities of all texts still sum up to one.
-    base_score is the add-one-half unigram of the same tokens.
+    words before it (Polya's urn with `strength` for the corpus).
+
+    With class_col the training texts are told apart by its values (the classes - 1 most frequent, and all others with
+    null), each class has its counts and piece weights, mixed with `shared` of all classes, and a text's
+    probability is the sum over the classes of prior times probability; a scored text's own class is never looked at.
+    So the probabilities of all texts still sum up to one. base_score is the add-one-half unigram of the same tokens.
 
     Nothing of the corpus is collected or broadcast but sums: documents are dealt into blocks by the hash of the id; each
     block sends its different words, packed by the hash of the word, to be counted; the counts and probabilities go back to the
-    block, which then scores its texts. So a frequent word is one entry per block, and tables per task stay bounded
+    block, which then scores its texts. So a frequent word is one entry per block and class, and tables per task stay bounded
     by the block. The blocks are as many as the shuffle partitions.
 
     Null texts count as empty (only the end); a null id counts as the largest one; repeated rows give repeated rows and
@@ -146,34 +173,47 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     own weights; an empty table gives an empty result.
     """
     spark, parts = df.sparkSession, shuffle_width(df.sparkSession)
-    texts = df.select(id_or_max(id_col).alias("id"), (remainder(id_col) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    pairs = stored(_vocabularies(texts.repartition(parts, "block"), parts), "words")
-    types = stored(_counted(pairs, parts), "counts")
-    tokens, different, ends = _statistics(types)
+    if class_col is None:
+        classes, cls = 1, F.lit(0)
+    else:
+        common = [r["c"] for r in df.filter(F.col(class_col).isNotNull() & (remainder(id_col) != held_out)).groupBy(F.col(class_col).cast("string").alias("c")).count().orderBy(F.desc("count"), "c").limit(classes - 1).collect()]
+        classes = len(common) + 1
+        cls = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(common) for x in (c, k)]), F.col(class_col).cast("string")), F.lit(classes - 1)) if common else F.lit(0)
+    texts = df.select(id_or_max(id_col).alias("id"), (remainder(id_col) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.when(remainder(id_col) == held_out, NO_CLASS).otherwise(cls).cast("int").alias("cls")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    pairs = stored(_vocabularies(texts.select("text", "cls", "block").repartition(parts, "block"), parts), "words")
+    types = stored(_counted(pairs, parts, classes), "counts")
+    different, n, v, ends = _statistics(types, classes)
+    tokens = int(n.sum())
 
     pieces, logp = read_vocabulary(vocabulary or default_vocabulary())
     own = np.exp(logp) / np.exp(logp).sum()
-    lattice = normalised(pieces, own, 0.3)
+    lattices = [normalised(pieces, own, 0.3)] * classes
     for _ in range(rounds if different else 0):
-        lattice = normalised(pieces, _estimated(types, lattice) + prior * own, different + 0.3 * prior)
+        lattices = [normalised(pieces, e + prior * own, k + 0.3 * prior) for e, k in zip(_estimated(types, lattices), v, strict=True)]
 
-    words_n, words_v = tokens - ends, different - (ends > 0)
-    p_end = (ends + 0.5) / (tokens + 1)
-    spare = np.log(discount * words_v / words_n) if words_n else 0.0
-    sent = spark.sparkContext.broadcast((lattice.pieces, lattice.logp, lattice.log_stop))  # the vocabulary, of fixed size
+    words_n, words_v = n - ends, v - (ends > 0)
+    log_end = np.log((ends + 0.5) / (n + 1))
+    log_word = np.log1p(-np.exp(log_end))
+    weight = np.log((ends + 0.5) / (ends.sum() + 0.5 * classes))  # of the classes; each training text has one end
+    spare = np.log(np.where(words_n > 0, discount * words_v / np.maximum(words_n, 1), 1.0))
+    sent = spark.sparkContext.broadcast((pieces, np.stack([x.logp for x in lattices]), [x.log_stop for x in lattices]))  # the vocabulary, of fixed size, by class
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Lattice(*sent.value)
-        for rows in _by_part(batches).values():
-            place, total = _totals(rows)
-            logq = model.log_probabilities(list(place)) + spare
-            if words_n:
-                with np.errstate(divide="ignore"):
-                    logq = np.logaddexp(logq, np.log(np.maximum(total - discount, 0) / words_n))
-            logq = (logq / np.log(10)).astype(np.float32)
-            for block, words, _ in rows:
-                at = [place[w] for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([b"\n".join(words)], pa.binary()), pa.array([total[at].tobytes()], pa.binary()), pa.array([logq[at].tobytes()], pa.binary())], names=["block", "words", "counts", "logq"])
+        names, logs, stops = sent.value
+        model = Lattice(names, logs[0], stops[0])
+        for p in _by_part(batches, classes):
+            total = p.totals()
+            words = list(p.place)
+            logq = model.log_probabilities_by(words, logs, np.array(stops)) + spare
+            with np.errstate(divide="ignore"):
+                logq = np.logaddexp(logq, np.log(np.maximum(total - discount, 0) / np.maximum(words_n, 1)))
+            if classes > 1:
+                every = _log_sum(logq + weight, 1)
+                logq = np.logaddexp(logq + np.log1p(-shared), every[:, None] + np.log(shared))
+            logq, every_n = logq.astype(np.float32), total.sum(axis=1)
+            for block, places in p.blocks.items():
+                at = np.unique(np.concatenate(places))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([b"\n".join([words[i] for i in at])], pa.binary()), pa.array([every_n[at].tobytes()], pa.binary()), pa.array([logq[at].tobytes()], pa.binary())], names=["block", "words", "counts", "logq"])
 
     answers = pairs.repartition(parts, "part").mapInArrow(answer, "block int, words binary, counts binary, logq binary")
 
@@ -183,22 +223,27 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             for w in words.split(b"\n"):
                 place[w] = len(place)
         total = np.concatenate([np.frombuffer(x, np.int64) for x in known.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
-        q = 10.0 ** np.concatenate([np.frombuffer(x, np.float32) for x in known.column("logq").to_pylist()] or [np.zeros(0, np.float32)]).astype(float)
+        q = np.exp(np.concatenate([np.frombuffer(x, np.float32).reshape(-1, classes) for x in known.column("logq").to_pylist()] or [np.zeros((0, classes), np.float32)]).astype(float))
         base = np.log10((total + 0.5) / (tokens + 0.5 * (different + 1)))
         out = []
         for t in byte_texts(docs.column("text")):
             at = np.fromiter(map(place.__getitem__, words_of(t)), dtype=np.int64)
-            n = len(at)
+            size = len(at)
             order = np.argsort(at, kind="stable")
             start = np.flatnonzero(np.diff(at[order], prepend=-1))
-            before = np.empty(n)
-            before[order] = np.arange(n) - np.repeat(start, np.diff(start, append=n))  # how often the word came before
-            p = (before + strength * q[at]) / (np.arange(n) + strength)
+            before = np.empty(size)
+            before[order] = np.arange(size) - np.repeat(start, np.diff(start, append=size))  # how often the word came before
+            logs = np.zeros(classes)
+            for a in range(0, size, 50_000):  # very long texts in pieces
+                s = slice(a, a + 50_000)
+                p = (before[s, None] + strength * q[at[s]]) / (np.arange(size)[s, None] + strength)
+                logs += np.log(p).sum(axis=0)
             e = place[END]
-            out.append((n + 1, int((total[at] > 0).sum() + (total[e] > 0)), float(base[at].sum() + base[e]), float(np.log10(p).sum() + n * np.log10(1 - p_end) + np.log10(p_end))))
+            out.append((size + 1, int((total[at] > 0).sum() + (total[e] > 0)), float(base[at].sum() + base[e]), float(_log_sum(weight + logs + size * log_word + log_end, 0) / np.log(10))))
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
 
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    asked = texts.select("id", "held_out", "text", "block")
+    scored = asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     bits = -F.col("score") / F.col("n_tokens") / F.log10(F.lit(2.0))
     return scored.select(id_or_null(F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_token"))

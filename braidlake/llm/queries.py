@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), class_col="lang")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

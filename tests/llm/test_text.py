@@ -59,6 +59,20 @@ def test_lattice_sums_to_one(small):
     assert 0.97 < total <= 1.0 + 1e-9
 
 
+def test_lattice_by_sets(small):
+    other = normalised(small.pieces, np.arange(20.0, 20.0 + len(small.pieces)), 9.0)
+    some = [b"", b"a", b"ab", b"aabbab", b"ab" * 30]
+    both = small.log_probabilities_by(some, np.stack([small.logp, other.logp]), np.array([small.log_stop, other.log_stop]))
+    assert np.allclose(both, np.stack([small.log_probabilities(some), other.log_probabilities(some)], axis=1))
+
+
+def test_lm_beats_the_unigram(spark):
+    """On texts it has not learned from, although the unigram lumps all unseen words together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lm_score.lm_scores(docs, class_col="lang").filter("held_out").collect()
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_expected_counts(small):
     """Uses of pieces add up to the words' bytes."""
     some = [b"ab", b"aabbab", b"bab"]
@@ -66,7 +80,7 @@ def test_expected_counts(small):
     assert math.isclose(sum(u * len(p) for u, p in zip(uses, small.pieces, strict=True)), sum(len(w) + 1 for w in some), rel_tol=1e-9)
 
 
-def check_base(df):
+def check_base(df, **kwargs):
     rows = [(r["doc_id"], [*words(r["text"]), ""]) for r in df.select("doc_id", "text").collect()]
     c = Counter()
     for i, w in rows:
@@ -74,7 +88,7 @@ def check_base(df):
             c.update(w)
     n, v = sum(c.values()), len(c)
     want = sorted((-1 if i is None else i, remainder(i) == 1, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, w in rows)
-    got = lm_score.lm_scores(df).collect()
+    got = lm_score.lm_scores(df, **kwargs).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     return got
@@ -86,7 +100,9 @@ def test_lm_scores(prose):
 
 def test_lm_odd(odd, empty):
     check_base(odd)
-    assert lm_score.lm_scores(empty).count() == 0
+    check_base(odd, class_col="lang")
+    check_base(odd, class_col="lang", classes=2)
+    assert lm_score.lm_scores(empty).count() == 0 and lm_score.lm_scores(empty, class_col="lang").count() == 0
 
 
 def test_lm_without_training(spark):
