@@ -44,8 +44,8 @@ def _majority(h: np.ndarray, words: int) -> bytes:
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> bytes:
-    """SimHash of a text's word shingles, repeats included; all bits zero without words. Fewer words than a shingle: the whole sequence is one."""
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, repeats: bool = True) -> bytes:
+    """SimHash of a text's word shingles, with or without repeats; all bits zero without words. Fewer words than a shingle: the whole sequence is one."""
     w = text.lower().split()  # bytes: A-Z only; splits on 0x20 and 0x09-0x0D only
     if not w:
         return bytes(8 * words)
@@ -56,15 +56,16 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> bytes:
         ends = list(itertools.accumulate([len(x) + 1 for x in w]))
         starts = [0, *ends]
         hashes = [digest(flat[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    return _majority(np.array(hashes, dtype=np.uint64), words)
+    h = np.array(hashes, dtype=np.uint64)
+    return _majority(h if repeats else np.unique(h), words)
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, words: int = 1, repeats: bool = True) -> DataFrame:
     """(id, fp binary) for each row; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle, words) for t in byte_texts(b.column(1))], type=pa.binary())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle, words, repeats) for t in byte_texts(b.column(1))], type=pa.binary())], names=["id", "fp"])
 
     return df.select(id_or_max(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp binary")
 
@@ -350,7 +351,7 @@ def planned(fps: DataFrame, n: int, distance: int, bits: int, m: int | None = No
     return parts, allocated(cost, distance - m + 1)
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, words: int = 1, plan: str = "exact", dense: int = DENSE) -> DataFrame:
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, words: int = 1, plan: str = "exact", dense: int = DENSE, repeats: bool = True) -> DataFrame:
     """One row per row of df: (id_col, fingerprint in hexadecimal, component_id).
 
     A fingerprint is the SimHash of the text's word shingles; fingerprints link at `distance` or fewer differing bits,
@@ -362,23 +363,25 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small or have no free bits; so no task holds a group of near copies as a whole and no link is lost. Buckets are
     verified in full and give spanning edges only, never all pairs.
 
-    plan "banded": for distances at which exact probing nears comparing all pairs. 24 partitions of
-    log2(n) - 6 bits, thresholds 0, on as many words of SimHash as that takes (`words` is then ignored and `distance`
-    is a share of the bits): pairs that differ in under 24 bits are certain to meet, others with a probability of
-    1 - (1 - (1 - p)^w)^24 for a share p of differing bits.
+    plan "banded": for distances at which exact probing nears comparing all pairs. At least 24 partitions of
+    log2(n) - 6 bits (12 or more), thresholds 0, on as many words of SimHash as that takes (`words` is then ignored and
+    `distance` is a share of the bits): pairs that differ in fewer bits than there are partitions m are certain to
+    meet, others with a probability of about 1 - (1 - (1 - p)^w)^m for a share p of differing bits.
+
+    repeats: whether a shingle counts as often as it occurs or once.
 
     Null and empty texts have the fingerprint zero, which links like any other; a null id counts as the largest one;
     repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
     """
     if plan == "banded":
         rows = df.count()
-        w = max(8, round(math.log2(max(rows, 2))) - 6)
+        w = max(12, round(math.log2(max(rows, 2))) - 6)
         words = math.ceil(24 * w / 64)
         limit = math.floor(distance * 64 * words)
     else:
         limit = distance
     bits = 64 * words
-    docs = stored(fingerprints(df, id_col, text_col, shingle, words), "fingerprints")
+    docs = stored(fingerprints(df, id_col, text_col, shingle, words, repeats), "fingerprints")
     fps = stored(docs.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     n = fps.count()
     if plan == "banded":
@@ -391,9 +394,13 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(named, "fp").select(id_or_null(F.col("id")).alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), id_or_null(F.col("component")).alias("component_id"))
 
 
-def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: float = 0.155) -> DataFrame:
-    """The rows of df whose id is the smallest of their component under the banded plan. distance is a share of bits: at 0.155 the angle is that of two shingle sets of one size with a Jaccard similarity of about 0.8."""
-    kept = simhash_components(df, id_col, text_col, shingle, distance, plan="banded").filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_or_max(id_col).alias("__id")).distinct()
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: float = 0.185) -> DataFrame:
+    """The rows of df whose id is the smallest of their component under the banded plan.
+
+    distance is a share of bits. Two shingle sets of one size and a Jaccard similarity of 0.8 differ in 15.1 % of the bits on
+    average, with a deviation of 2 points at 320 bits; at 18.5 % about 95 % of such pairs are linked, 35 % of those at 0.7 and 1 % at 0.6.
+    """
+    kept = simhash_components(df, id_col, text_col, shingle, distance, plan="banded", repeats=False).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_or_max(id_col).alias("__id")).distinct()
     return df.withColumn("__id", id_or_max(id_col)).join(kept, "__id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -162,7 +162,7 @@ def test_pipeline(spark, tmp_path):
     ids = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in steps]
     assert ids[1] == {r["doc_id"] for r in quality.quality(docs, spark.read.parquet(f"{d}/labels.parquet")).filter("predicted = 1").collect()}
     assert ids[2] == {r["doc_id"] for r in exact_dedup.exact_dedup(steps[1]).filter("kept").collect()}
-    assert ids[3] == {r["doc_id"] for r in simhash.simhash_components(steps[2], shingle=5, distance=0.155, plan="banded").filter("doc_id = component_id").collect()}
+    assert ids[3] == {r["doc_id"] for r in simhash.simhash_components(steps[2], shingle=5, distance=0.185, plan="banded", repeats=False).filter("doc_id = component_id").collect()}
     assert ids[4] == {r["doc_id"] for r in decontam.decontamination(steps[3], spark.read.parquet(f"{d}/benchmark.parquet")).filter("not contaminated").collect()}
     assert ids[5] == ids[4]
     assert {r["doc_id"] for r in p.run(spark, d).collect()} == ids[5]
