@@ -107,6 +107,23 @@ def test_candidates_are_complete(spark, dense, distance):
     assert {i: roots.get(i, i) for i in ids} == brute_components(ids, distance)
 
 
+def test_dense_groups_in_tiles(spark):
+    """Near copies of a few texts, far more than a bucket may hold, in the banded plan: each family stays one component and is no part of another."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for f in range(3):
+        base = [f"w{f}x{k}" for k in rng.integers(0, 10_000, 300)]
+        for c in range(150):
+            w = list(base)
+            w[int(rng.integers(0, 300))] = f"changed{f}x{c}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000 + k, " ".join(f"u{x}" for x in rng.integers(0, 10**6, 60))) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(df, shingle=5, distance=0.185, plan="banded", repeats=False, dense=20).collect()}
+    assert [got[i] for i in range(450)] == [i // 150 * 150 for i in range(450)]
+    assert all(got[1000 + k] == 1000 + k for k in range(100))
+
+
 def test_unequal_thresholds(spark):
     """With parts of several widths and thresholds above zero the probes still meet every link."""
     rng = np.random.default_rng(3)
