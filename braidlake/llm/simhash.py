@@ -17,6 +17,11 @@ from braidlake.llm.common import byte_texts, components, id_or_max, id_or_null,
 SEED = 42
 #: A bucket of more different fingerprints than this is split again instead of being compared as a whole.
 DENSE = 2048
+#: Share of differing bits of two texts with a Jaccard similarity of 0.8, on average, and how surely the banded plan lets such a pair meet.
+NEAR_SHARE = 0.151
+RECALL = 0.98
+#: Bits whose correlations the banded plan looks at together.
+BLOCK = 320
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # value of a byte -> its bits, lowest first
 
 
@@ -91,28 +96,38 @@ def ball(width: int, radius: int) -> int:
     return sum(math.comb(width, r) for r in range(radius + 1))
 
 
-def correlation(fps: DataFrame, bits: int) -> np.ndarray:
-    """Correlation of the bits over all different fingerprints, from counts summed by Spark."""
+def correlations(fps: DataFrame, bits: int, block: int) -> list[np.ndarray]:
+    """Correlation of the bits over all different fingerprints, from counts summed by Spark: a matrix for each block of bits."""
+    starts = list(range(0, bits, block))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((bits, bits)), 0
+        sums = [np.zeros((min(block, bits - a),) * 2) for a in starts]
+        n = 0
         for b in batches:
             x = _bit_columns(_matrix(b.column("fp"), bits // 8)).astype(np.float32)
-            both, n = both + x.T @ x, n + len(x)
-        i, j = np.triu_indices(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(j, -1).astype(np.int32)), pa.array(np.append(both[i, j], n).astype(np.int64))], names=["i", "j", "n"])
-
-    both, total = np.zeros((bits, bits)), 0
-    for i, j, n in fps.select("fp").mapInArrow(counts, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():  # bits * (bits + 1) / 2 + 1 rows
+            n += len(x)
+            for a, both in zip(starts, sums, strict=True):
+                part = x[:, a : a + block]
+                both += part.T @ part
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["i", "j", "n"])
+        for a, both in zip(starts, sums, strict=True):
+            i, j = np.triu_indices(len(both))
+            yield pa.RecordBatch.from_arrays([pa.array((i + a).astype(np.int32)), pa.array((j + a).astype(np.int32)), pa.array(both[i, j].astype(np.int64))], names=["i", "j", "n"])
+
+    sums, total = [np.zeros((min(block, bits - a),) * 2) for a in starts], 0
+    for i, j, n in fps.select("fp").mapInArrow(counts, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():  # at most bits * (block + 1) / 2 + 1 rows
         if i < 0:
             total = n
         else:
-            both[i, j] = both[j, i] = n
+            sums[i // block][i % block, j % block] = sums[i // block][j % block, i % block] = n
     if not total:
-        return np.eye(bits)
-    mean = np.diag(both) / total
-    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-    return (both / total - np.outer(mean, mean)) / np.outer(spread, spread)
+        return [np.eye(len(both)) for both in sums]
+    out = []
+    for both in sums:
+        mean = np.diag(both) / total
+        spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+        out.append((both / total - np.outer(mean, mean)) / np.outer(spread, spread))
+    return out
 
 
 def grouped_bits(corr: np.ndarray, m: int) -> list[list[int]]:
@@ -132,6 +147,20 @@ def grouped_bits(corr: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
+def banded_width(rows: int, share: float = NEAR_SHARE, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a partition and the least number of partitions that lets a pair which differs in `share` of independent bits agree on one of them with a probability of `recall`, whatever the number of rows."""
+    w = max(12, round(math.log2(max(rows, 2))) - 9)  # up to about 700 rows for each value of a partition
+    return w, math.ceil(math.log(1 - recall) / math.log1p(-((1 - share) ** w)))
+
+
+def banded_parts(fps: DataFrame, bits: int, w: int) -> list[list[int]]:
+    """Partitions of at most w correlated bits, cut from each block of BLOCK bits apart, so that what the driver gets grows with the bits and not with their square."""
+    parts = []
+    for k, corr in enumerate(correlations(fps, bits, BLOCK)):
+        parts += [[b + k * BLOCK for b in part] for part in grouped_bits(corr, math.ceil(len(corr) / w))]
+    return parts
+
+
 def allocated(cost: list[list[float]], total: int) -> list[int]:
     """Thresholds t_i >= -1 with the given sum and the least sum of costs; cost[i][t + 1] is that of partition i at t. Dynamic programming."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -410,7 +439,7 @@ def planned(fps: DataFrame, n: int, distance: int, bits: int, m: int | None = No
         return sum(n * ball(int(w), t) + 0.05 * n * n * ball(int(w), t) / 2**w for t in each if t >= 0)
 
     m = m or min(range(max(1, min(2, distance + 1)), distance + 2), key=guess)
-    parts = grouped_bits(correlation(fps, bits), m)
+    parts = grouped_bits(correlations(fps, bits, bits)[0], m)
     size = bits // 8
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,10 +465,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small or have no free bits; so no task holds a group of near copies as a whole and no link is lost. Buckets are
     verified in full and give spanning edges only, never all pairs.
 
-    plan "banded": for distances at which exact probing nears comparing all pairs. At least 24 partitions of
-    log2(n) - 6 bits (12 or more), thresholds 0, on as many words of SimHash as that takes (`words` is then ignored and
-    `distance` is a share of the bits): pairs that differ in fewer bits than there are partitions m are certain to
-    meet, others with a probability of about 1 - (1 - (1 - p)^w)^m for a share p of differing bits.
+    plan "banded": for distances at which exact probing nears comparing all pairs. Partitions of w = log2(n) - 9 bits
+    (12 or more), thresholds 0, on as many words of SimHash as that takes (`words` is then ignored and `distance` is a
+    share of the bits): pairs that differ in fewer bits than there are partitions m are certain to meet, others with a
+    probability of about 1 - (1 - (1 - p)^w)^m for a share p of differing bits. m grows with n so that this stays at
+    RECALL for a share of NEAR_SHARE: 26 partitions of 12 bits up to three million rows, 44 of 15 bits at 15 million.
 
     repeats: whether a shingle counts as often as it occurs or once.
 
@@ -447,9 +477,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
     """
     if plan == "banded":
-        rows = df.count()
-        w = max(12, round(math.log2(max(rows, 2))) - 6)
-        words = math.ceil(24 * w / 64)
+        w, m = banded_width(df.count())
+        words = math.ceil(m * w / 64)
         limit = math.floor(distance * 64 * words)
     else:
         limit = distance
@@ -458,7 +487,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fps = stored(docs.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     n = fps.count()
     if plan == "banded":
-        parts = grouped_bits(correlation(fps, bits), math.ceil(bits / w))
+        parts = banded_parts(fps, bits, w)
         edges = linked(fps, n, limit, bits, (parts, [0] * len(parts)), exact=False, dense=dense)
     else:
         edges = linked(fps, n, limit, bits, planned(fps, n, limit, bits), dense=dense)

@@ -161,3 +161,27 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(300, 400)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[k] for k in [1000, *range(300, 400)]} == {300}
+
+
+def test_banded_plan_recall_at_any_size(spark):
+    """Partitions grow in number with the rows, so that near pairs meet as surely in a large table as in a small one."""
+    for rows in (0, 1, 1000, 10**6, 15 * 10**6, 10**9, 5 * 10**10):
+        w, m = simhash.banded_width(rows)
+        assert 1 - (1 - (1 - simhash.NEAR_SHARE) ** w) ** m >= simhash.RECALL and rows / 2**w < 1000
+    fps = spark.createDataFrame([(i, bytes(r)) for i, r in enumerate(np.random.default_rng(1).integers(0, 256, (300, 88), dtype=np.uint8))], "id long, fp binary")
+    parts = simhash.banded_parts(fps, 704, 15)
+    assert sorted(b for p in parts for b in p) == list(range(704)) and len(parts) >= simhash.banded_width(15 * 10**6)[1] and max(map(len, parts)) <= 15
+    bits = np.unpackbits(np.array([np.frombuffer(bytes(r["fp"]), dtype=np.uint8) for r in fps.collect()]), axis=1)
+    for k, corr in enumerate(simhash.correlations(fps, 704, 320)):
+        assert np.allclose(corr, np.corrcoef(bits[:, 320 * k : 320 * (k + 1)].T))
+
+
+def test_wide_fingerprints_link_near_pairs(spark):
+    """The plan of a table of 15 million rows, on pairs that differ in 15 % of 704 bits: at least 95 % of them are linked."""
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 2, (1000, 704), dtype=np.uint8)
+    two = one ^ (rng.random((1000, 704)) < simhash.NEAR_SHARE)
+    df = spark.createDataFrame([(i, bytes(r)) for i, r in enumerate(np.packbits(np.concatenate([one, two]), axis=1))], "id long, fp binary")
+    parts = simhash.banded_parts(df, 704, 15)
+    edges = {(r["a"], r["b"]) for r in simhash.linked(df, 2000, int(0.185 * 704), 704, (parts, [0] * len(parts)), exact=False).collect()}
+    assert all(a == b + 1000 for a, b in edges) and len(edges) >= 950
