@@ -144,13 +144,17 @@ class Lattice:
             alpha = self._forward(edges, len(rows), n)
             beta = np.full((n + 1, len(rows)), -np.inf)
             beta[n] = 0.0
+            used: list[tuple[np.ndarray, np.ndarray]] = []
             for a in range(n - 1, -1, -1):
                 for b in range(a + 1, min(n, a + LONGEST) + 1):
                     if (a, b) in edges:
                         hit, ids = edges[a, b]
                         step = self.logp[ids] + beta[b, hit]
                         beta[a, hit] = np.logaddexp(beta[a, hit], step)
-                        total += np.bincount(ids, weights=np.exp(alpha[a, hit] + step - alpha[n, hit]), minlength=len(self.pieces))
+                        used.append((ids, np.exp(alpha[a, hit] + step - alpha[n, hit])))
+            if used:
+                ids, weights = (np.concatenate(x) for x in zip(*used, strict=True))
+                total += np.bincount(ids, weights=weights, minlength=len(self.pieces))
         return total
 
 

@@ -19,6 +19,8 @@ ROUNDS, PRIOR, DISCOUNT, STRENGTH = 3, 200.0, 0.6, 3000.0
 #: Classes of training texts at most, and the share of a word's probability that all classes together give.
 CLASSES, SHARED = 5, 0.05
 HELD_OUT = 1
+#: Words whose segmentations are looked at in one call, about.
+TOGETHER = 50_000
 #: The end of a text, which no word equals; the class of texts that nothing is learned from.
 END, NO_CLASS = b"", -1
 
@@ -110,11 +112,22 @@ def _estimated(types: DataFrame, lattices: list[Lattice]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
+        held: list[list[bytes]] = [[] for _ in lattices]
+
+        def flush(k: int) -> None:
+            if held[k]:
+                total[k] += lattices[k].expected(held[k])
+                held[k] = []
+
         for b in batches:
             for words, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 n, words = np.frombuffer(counts, np.int64).reshape(-1, shape[0]), words.split(b"\n")
-                for k, lattice in enumerate(lattices):
-                    total[k] += lattice.expected([words[i] for i in np.flatnonzero(n[:, k]) if words[i]])
+                for k in range(shape[0]):
+                    held[k] += [words[i] for i in np.flatnonzero(n[:, k]) if words[i]]
+                    if len(held[k]) >= TOGETHER:
+                        flush(k)
+        for k in range(shape[0]):
+            flush(k)
         k, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(total[k, at])], names=["cls", "piece", "n"])
 
