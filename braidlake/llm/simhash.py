@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlake.llm.common import byte_texts, components, id_or_max, id_or_null, shuffle_width, stored
@@ -20,6 +20,11 @@ DENSE = 2048
 #: Share of differing bits of two texts with a Jaccard similarity of 0.8, on average, and how surely the banded plan lets such a pair meet.
 NEAR_SHARE = 0.151
 RECALL = 0.98
+#: Least Jaccard similarity of the distinct shingles of two linked texts in the banded plan, and the share of bits by which its candidates may differ beyond the distance.
+SIMILAR = 0.8
+SLACK = 0.04
+#: Rows and bytes of shingles of a tile of a group of candidates.
+TILE_ROWS, TILE_BYTES = 1024, 16_000_000
 #: Bits whose correlations the banded plan looks at together.
 BLOCK = 320
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # value of a byte -> its bits, lowest first
@@ -49,11 +54,11 @@ def _majority(h: np.ndarray, words: int) -> bytes:
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1, repeats: bool = True) -> bytes:
-    """SimHash of a text's word shingles, with or without repeats; all bits zero without words. Fewer words than a shingle: the whole sequence is one."""
+def shingles(text: bytes, shingle: int = 3) -> np.ndarray:
+    """Hashes of a text's word shingles with repeats; none without words. Fewer words than a shingle: the whole sequence is one."""
     w = text.lower().split()  # bytes: A-Z only; splits on 0x20 and 0x09-0x0D only
     if not w:
-        return bytes(8 * words)
+        return np.array([], dtype=np.uint64)
     flat, digest = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= shingle:
         hashes = [digest(flat, SEED)]
@@ -61,7 +66,14 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, repeats: bool = T
         ends = list(itertools.accumulate([len(x) + 1 for x in w]))
         starts = [0, *ends]
         hashes = [digest(flat[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, repeats: bool = True) -> bytes:
+    """SimHash of a text's word shingles, with or without repeats; all bits zero without words."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return bytes(8 * words)
     return _majority(h if repeats else np.unique(h), words)
 
 
@@ -89,6 +101,27 @@ def _bit_columns(m: np.ndarray) -> np.ndarray:
     return np.unpackbits(m, axis=1)  # column k: k-th bit from the left
 
 
+def set_number(distinct: np.ndarray) -> int:
+    """A 64-bit number of a set of shingles, from their sorted hashes."""
+    return int(np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
+
+
+def numbered_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words: int, repeats: bool) -> DataFrame:
+    """(id, fp binary, shs) for each row: fingerprints() and the number of the text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, numbers = [], []
+            for t in byte_texts(b.column(1)):
+                h = shingles(t, shingle)
+                distinct = np.unique(h)
+                fps.append(_majority(h if repeats else distinct, words) if len(h) else bytes(8 * words))
+                numbers.append(set_number(distinct))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, type=pa.binary()), pa.array(numbers, type=pa.int64())], names=["id", "fp", "shs"])
+
+    return df.select(id_or_max(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp binary, shs long")
+
+
 # ---------------------------------------------------------------- the plan: partitions and thresholds
 
 
@@ -453,7 +486,116 @@ def planned(fps: DataFrame, n: int, distance: int, bits: int, m: int | None = No
     return parts, allocated(cost, distance - m + 1)
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, words: int = 1, plan: str = "exact", dense: int = DENSE, repeats: bool = True) -> DataFrame:
+# ---------------------------------------------------------------- Jaccard similarity
+
+
+def _similar(sets: list[np.ndarray], numbers: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges that connect whatever sets of distinct hashes are linked by a Jaccard similarity of `least` or more: at most one fewer than the sets."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    own = [codes[a:b] for a, b in zip(starts, ends, strict=True)]
+    rest, edges = np.arange(len(sets)), []  # starts, ends and codes are those of rest
+    while len(rest):
+        root, front, taken = int(rest[0]), [int(rest[0])], np.zeros(len(rest), dtype=bool)
+        taken[0] = True
+        while front and not taken.all():
+            x = front.pop()
+            mark[own[x]] = 1
+            seen = np.concatenate([[0], np.cumsum(mark[codes])])
+            mark[own[x]] = 0
+            common = seen[ends] - seen[starts]
+            near = np.flatnonzero(~taken & (common >= least * (sizes[rest] + len(own[x]) - common) - 1e-9))
+            taken[near] = True
+            found = rest[near].tolist()
+            front += found
+            edges += [(int(numbers[y]), int(numbers[root])) for y in found]
+            if 2 * taken.sum() > len(taken):
+                rest, taken = rest[~taken], np.zeros(int((~taken).sum()), dtype=bool)
+                codes = np.concatenate([own[y] for y in rest]) if len(rest) else codes[:0]
+                ends = np.cumsum(sizes[rest])
+                starts = ends - sizes[rest]
+        if taken.any():
+            rest = rest[~taken]
+            codes = np.concatenate([own[y] for y in rest]) if len(rest) else codes[:0]
+            ends = np.cumsum(sizes[rest])
+            starts = ends - sizes[rest]
+    return edges
+
+
+def _similar_in(least: float) -> Callable:
+    """Rows (key, shs, shingles) sorted by key: gives the edges within each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            edges = np.array(_similar(list(held.values()), np.array(list(held)), least), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            for key, number, data in zip(b.column("key").to_pylist(), b.column("shs").to_pylist(), b.column("shingles"), strict=True):
+                if key != now and held:
+                    yield out()
+                    held = {}
+                now = key
+                held[number] = np.frombuffer(data.as_py(), dtype=np.uint64)
+        if held:
+            yield out()
+
+    return run
+
+
+def in_tile_pairs(rows: DataFrame, tiles: Column, group: str, node: str) -> DataFrame:
+    """The rows with a new column key: each group's rows are dealt into tiles, and every two tiles of a group meet under one key, so every two rows do. tiles: how many."""
+    t = rows.withColumn("__t", tiles.cast("long")).withColumn("__i", F.pmod(F.xxhash64(node, F.lit(SEED)), F.col("__t")))
+    t = t.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)))
+    return t.withColumn("key", F.xxhash64(group, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__t", "__i", "__j")
+
+
+def similar_sets(df: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """(node, root) of the sets of shingles that have a link: sets of one group of candidates and a Jaccard similarity of `least` or more.
+
+    found: (id, shs, grp) for each row of df. Every two different sets of a group are compared by their shingles, which
+    are made again for groups of two sets or more only; large groups are compared tile by tile.
+    """
+    one = found.groupBy("grp", "shs").agg(F.min("id").alias("id"))
+    many = one.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = stored(one.join(many, "grp").select("id", "shs", "grp"), "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(t, shingle)) for t in byte_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("shs"), b.column("grp"), pa.array([set_number(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["shs", "grp", "own", "shingles"])
+
+    texts = df.select(id_or_max(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(asked, "id")
+    # an id may have several texts: only the one that was asked for
+    sets = stored(texts.select("shs", "grp", "text").mapInArrow(run, "shs long, grp long, own long, shingles binary").filter("own = shs").select("shs", "grp", "shingles"), "shingles")
+    sizes = sets.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.length("shingles")) / TILE_BYTES)).alias("tiles"))
+    dealt = in_tile_pairs(sets.join(sizes, "grp"), F.col("tiles"), "grp", "shs")
+    edges = dealt.select("key", "shs", "shingles").repartition(shuffle_width(df.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_similar_in(least), "a long, b long")
+    return components(edges)
+
+
+def banded_components(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: float, dense: int, repeats: bool, least: float) -> DataFrame:
+    """(id, fp, component) for each row of df by the banded plan; component is a number of the sets of shingles that are linked."""
+    w, m = banded_width(df.count())
+    words = math.ceil(m * w / 64)
+    bits = 64 * words
+    docs = stored(numbered_fingerprints(df, id_col, text_col, shingle, words, repeats), "fingerprints")
+    fps = stored(docs.select("fp").distinct().select("fp", F.xxhash64("fp").alias("id")), "distinct")
+    parts = banded_parts(fps, bits, w)
+    groups = components(linked(fps, fps.count(), math.floor((distance + SLACK) * bits), bits, (parts, [0] * len(parts)), exact=False, dense=dense))
+    grouped = docs.withColumn("own", F.xxhash64("fp")).join(groups, F.col("own") == groups.node, "left")
+    found = stored(grouped.select("id", "fp", "shs", F.coalesce("root", "own").alias("grp")), "candidates")
+    roots = similar_sets(df, found.select("id", "shs", "grp"), id_col, text_col, shingle, least)
+    return found.join(roots, found.shs == roots.node, "left").select("id", "fp", F.coalesce("root", "shs").alias("component"))
+
+
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, words: int = 1, plan: str = "exact", dense: int = DENSE, repeats: bool = True, similar: float = SIMILAR) -> DataFrame:
     """One row per row of df: (id_col, fingerprint in hexadecimal, component_id).
 
     A fingerprint is the SimHash of the text's word shingles; fingerprints link at `distance` or fewer differing bits,
@@ -465,11 +607,14 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small or have no free bits; so no task holds a group of near copies as a whole and no link is lost. Buckets are
     verified in full and give spanning edges only, never all pairs.
 
-    plan "banded": for distances at which exact probing nears comparing all pairs. Partitions of w = log2(n) - 9 bits
-    (12 or more), thresholds 0, on as many words of SimHash as that takes (`words` is then ignored and `distance` is a
-    share of the bits): pairs that differ in fewer bits than there are partitions m are certain to meet, others with a
-    probability of about 1 - (1 - (1 - p)^w)^m for a share p of differing bits. m grows with n so that this stays at
-    RECALL for a share of NEAR_SHARE: 26 partitions of 12 bits up to three million rows, 44 of 15 bits at 15 million.
+    plan "banded": texts link at a Jaccard similarity of `similar` or more of their distinct shingles, which is verified
+    for every link; SimHash only raises the candidates. It stands for distances at which exact probing nears comparing
+    all pairs. Partitions of w = log2(n) - 9 bits (12 or more), thresholds 0, on as many words of SimHash as that takes
+    (`words` is then ignored and `distance` is a share of the bits): pairs that differ in fewer bits than there are
+    partitions m are certain to meet, others with a probability of about 1 - (1 - (1 - p)^w)^m for a share p of differing
+    bits. m grows with n so that this stays at RECALL for a share of NEAR_SHARE: 26 partitions of 12 bits up to three
+    million rows, 44 of 15 bits at 15 million. Fingerprints that met and differ in at most `distance` + SLACK of the bits
+    are chained into groups, and every two different sets of shingles of a group are compared.
 
     repeats: whether a shingle counts as often as it occurs or once.
 
@@ -477,32 +622,26 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
     """
     if plan == "banded":
-        w, m = banded_width(df.count())
-        words = math.ceil(m * w / 64)
-        limit = math.floor(distance * 64 * words)
-    else:
-        limit = distance
+        docs = stored(banded_components(df, id_col, text_col, shingle, distance, dense, repeats, similar), "components")
+        least = docs.groupBy("component").agg(F.min("id").alias("least"))
+        return docs.join(least, "component").select(id_or_null(F.col("id")).alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), id_or_null(F.col("least")).alias("component_id"))
     bits = 64 * words
     docs = stored(fingerprints(df, id_col, text_col, shingle, words, repeats), "fingerprints")
     fps = stored(docs.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     n = fps.count()
-    if plan == "banded":
-        parts = banded_parts(fps, bits, w)
-        edges = linked(fps, n, limit, bits, (parts, [0] * len(parts)), exact=False, dense=dense)
-    else:
-        edges = linked(fps, n, limit, bits, planned(fps, n, limit, bits), dense=dense)
+    edges = linked(fps, n, distance, bits, planned(fps, n, distance, bits), dense=dense)
     roots = components(edges)
     named = fps.join(roots, fps.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component"))
     return docs.join(named, "fp").select(id_or_null(F.col("id")).alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), id_or_null(F.col("component")).alias("component_id"))
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: float = 0.185) -> DataFrame:
-    """The rows of df whose id is the smallest of their component under the banded plan.
+    """The rows of df whose id is the smallest of their component under the banded plan: of texts that are linked by a Jaccard
+    similarity of 0.8 or more of their distinct shingles.
 
-    distance is a share of bits. Two shingle sets of one size and a Jaccard similarity of 0.8 differ in 15.1 % of the bits on
-    average, with a deviation of 2 points at 320 bits; at 18.5 % about 95 % of such pairs are linked, 35 % of those at 0.7 and 1 % at 0.6.
+    distance is a share of bits, and SLACK is added to it for candidates. Two shingle sets of one size and a Jaccard similarity
+    of 0.8 differ in 15.1 % of the bits on average, with a deviation of 2 points at 320 bits.
     """
-    kept = simhash_components(df, id_col, text_col, shingle, distance, plan="banded", repeats=False).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_or_max(id_col).alias("__id")).distinct()
+    found = banded_components(df, id_col, text_col, shingle, distance, DENSE, False, SIMILAR)
+    kept = found.groupBy("component").agg(F.min("id").alias("__id")).select("__id").distinct()
     return df.withColumn("__id", id_or_max(id_col)).join(kept, "__id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
-
-

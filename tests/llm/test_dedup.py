@@ -185,3 +185,63 @@ def test_wide_fingerprints_link_near_pairs(spark):
     parts = simhash.banded_parts(df, 704, 15)
     edges = {(r["a"], r["b"]) for r in simhash.linked(df, 2000, int(0.185 * 704), 704, (parts, [0] * len(parts)), exact=False).collect()}
     assert all(a == b + 1000 for a, b in edges) and len(edges) >= 950
+
+
+def planted_pairs(rng, sizes, shares):
+    """Texts and versions of them with one run of words changed, so that about the given share of the five-word shingles is in common."""
+    rows = []
+    for n in sizes:
+        for share in shares:
+            one = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+            lost = max(1, round((n - 4) * (1 - share) / (1 + share)))  # of the n - 4 shingles; a run of k words at the end changes k of them
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(one[: n - lost] + [f"v{x}" for x in rng.integers(0, 10**9, lost)]))]
+    return rows
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_are_verified(spark):
+    """Pairs below a Jaccard similarity of 0.8 stay apart however few bits they differ in, short texts too; those of 0.8 or more are linked."""
+    rows = planted_pairs(np.random.default_rng(5), [10, 14, 24, 60, 200, 400] * 8, [0.6, 0.7, 0.75, 0.78, 0.82, 0.85, 0.9, 0.95])
+    real = [(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True) if jaccard(x, y) >= 0.8]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(df, shingle=5, distance=0.185, plan="banded", repeats=False).collect()}
+    linked = {(c, i) for i, c in got.items() if c != i}
+    assert linked <= set(real)
+    assert len(linked) >= 0.95 * len(real) and 100 < len(real) < 300
+    assert {r["doc_id"] for r in simhash.keep_representatives(df).collect()} == {i for i, c in got.items() if i == c}
+
+
+def test_similar_sets_in_tiles(spark, monkeypatch):
+    """Groups of candidates of many tiles: the same components as all pairs."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}x{k}" for k in range(64)]
+        for c in range(40):
+            w = list(base)
+            for at in rng.integers(0, 64, int(rng.integers(0, 4))):
+                w[at] = f"c{f}x{c}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: np.unique(simhash.shingles(t.encode(), 5)) for i, t in rows}
+    found = spark.createDataFrame([(i, simhash.set_number(sets[i]), 7) for i in sets], "id long, shs long, grp long")
+    roots = {r["node"]: r["root"] for r in simhash.similar_sets(df, found, "doc_id", "text", 5, 0.8).collect()}
+    of = {i: simhash.set_number(x) for i, x in sets.items()}
+    root = {n: n for n in of.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if jaccard(rows[a][1], rows[b][1]) >= 0.8:
+            x, y = find(of[a]), find(of[b])
+            root[max(x, y)] = min(x, y)
+    assert {n: roots.get(n, n) for n in root} == {n: find(n) for n in root}
+    assert len({find(n) for n in root}) > 3
