@@ -363,74 +363,23 @@ def _verify(distance: int, size: int) -> Callable:
     return run
 
 
-_TILED = "key long, fp binary, id long, a long, b long"
-#: Members that stand for a group of linked fingerprints of a dense bucket.
-STANDING = 4
-
-
-def _tiled(distance: int, size: int) -> Callable:
-    """Rows sorted by tile: gives spanning edges (a, b) within each tile, and of each group of linked rows the first STANDING as rows of the bucket."""
-
-    def tile(t: pa.Table) -> pa.RecordBatch:
-        ids, fp, key = t.column("id").to_numpy(), _matrix(t.column("fp").combine_chunks(), size), t.column("key").to_numpy()
-        one = np.unique(ids, return_index=True)[1]
-        edges = np.array(_forest(fp[one], ids[one], distance), dtype=np.int64).reshape(-1, 2)
-        nth = {i: 0 for i in ids[one].tolist()}
-        seen: dict[int, int] = {}
-        for a, b in edges.tolist():
-            seen[b] = nth[a] = seen.get(b, 0) + 1
-        stay = [j for j in one.tolist() if nth[int(ids[j])] < STANDING]
-        n, m = len(stay), len(edges)
-        rows = [bytes(fp[j]) for j in stay] + [None] * m
-        return pa.RecordBatch.from_arrays(
-            [pa.array([*key[stay].tolist(), *[None] * m], pa.int64()), pa.array(rows, pa.binary()), pa.array([*ids[stay].tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *edges[:, 0].tolist()], pa.int64()), pa.array([*[None] * n, *edges[:, 1].tolist()], pa.int64())],
-            names=["key", "fp", "id", "a", "b"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now: int | None = None
-        for b in batches:
-            tiles = b.column("tile").to_numpy()
-            at = [0, *(np.flatnonzero(np.diff(tiles)) + 1).tolist(), len(tiles)]
-            for x, y in itertools.pairwise(at):
-                if x == y:
-                    continue
-                if held and tiles[x] != now:
-                    yield tile(pa.Table.from_batches(held))
-                    held = []
-                now = tiles[x]
-                held.append(b.slice(x, y - x))
-        if held:
-            yield tile(pa.Table.from_batches(held))
-
-    return run
-
-
-def _second(parts: list[list[int]], size: int) -> Callable:
-    """Deals the rows of buckets again, by the bucket and each one of the partitions: pairs must then agree on two of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols, old = _bit_columns(_matrix(b.column("fp"), size)), b.column("key").to_numpy().view(np.uint64)
-            for k, part in enumerate(parts):
-                key = _mixed(_key(k, _values(cols, part)).view(np.uint64) ^ _mixed(old, 3), 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("fp"), b.column("id")], names=["key", "fp", "id"])
-
-    return run
-
-
 def _verified(sig: DataFrame, distance: int, size: int, width: int) -> DataFrame:
     return sig.select("key", "fp", "id").repartition(width, "key").sortWithinPartitions("key", "id").mapInArrow(_verify(distance, size), "a long, b long")
 
 
+def in_tile_pairs(rows: DataFrame, tiles: Column, group: str, node: str) -> DataFrame:
+    """The rows with a new column key: each group's rows are dealt into tiles, and every two tiles of a group meet under one key, so every two rows do. tiles: how many."""
+    t = rows.withColumn("__t", tiles.cast("long")).withColumn("__i", F.pmod(F.xxhash64(node, F.lit(SEED)), F.col("__t")))
+    t = t.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)))
+    return t.withColumn("key", F.xxhash64(group, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__t", "__i", "__j")
+
+
 def linked(fps: DataFrame, n: int, distance: int, bits: int, plan: tuple[list[list[int]], list[int]], exact: bool = True, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) of ids that connect the candidates within `distance` differing bits. fps: (id, fp), each fp once.
 
     A bucket of over `dense` rows is never compared as a whole. exact: its rows are dealt again by cuts of the bits
-    they leave free. Otherwise it is compared in tiles of at most about `dense` rows, and STANDING rows of each group
-    found go on as the bucket's rows; what is still dense then holds rows that are mostly unlike, which are dealt again
-    by a second partition.
+    they leave free. Otherwise it is dealt into tiles of about 2 * `dense` rows and every two tiles are compared, so
+    that every two rows are: a bucket of n rows sends each of them n / (2 * dense) times.
     """
     parts, limits = plan
     size, width = bits // 8, shuffle_width(fps.sparkSession)
@@ -438,24 +387,17 @@ def linked(fps: DataFrame, n: int, distance: int, bits: int, plan: tuple[list[li
     if n <= dense:
         return _verified(sig, distance, size, width)
     edges: DataFrame | None = None
-    for level in range(12):
+    for _ in range(12):
         heavy = stored(sig.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense), "dense")
         one = _verified(sig.join(heavy, "key", "left_anti"), distance, size, width)
         edges = one if edges is None else edges.union(one)
         if heavy.isEmpty():
             return edges
-        if exact:
-            sig = stored(sig.join(heavy, "key", "left_semi").select("key", "probe", "fp", "id", "path").mapInArrow(_resplit(parts, distance, size), _SIG), "split")
-            continue
-        if level % 3 == 2:
-            sig = stored(sig.join(heavy, "key", "left_semi").select("key", "fp", "id").mapInArrow(_second(parts, size), "key long, fp binary, id long"), "split")
-            continue
-        tiles = F.ceil(F.col("n") * 2 / dense).cast("long")
-        dealt = sig.join(heavy, "key").withColumn("tile", F.xxhash64("key", F.pmod(F.xxhash64("id", F.lit(level)), tiles)))
-        done = stored(dealt.select("tile", "key", "fp", "id").repartition(width, "tile").sortWithinPartitions("tile", "id").mapInArrow(_tiled(distance, size), _TILED), "tiles")
-        edges = edges.union(done.filter("a is not null").select("a", "b"))
-        sig = done.filter("a is null").select("key", "fp", "id")
-    # all cuts are used up: what is left shares almost all bits (exact), or two partitions four times over
+        if not exact:
+            pairs = in_tile_pairs(sig.join(heavy, "key").withColumnRenamed("key", "bucket"), F.ceil(F.col("n") / (2 * dense)), "bucket", "id")
+            return edges.union(_verified(pairs, distance, size, width))
+        sig = stored(sig.join(heavy, "key", "left_semi").select("key", "probe", "fp", "id", "path").mapInArrow(_resplit(parts, distance, size), _SIG), "split")
+    # all cuts are used up: what is left shares almost all bits
     return edges.union(_verified(sig, distance, size, width))
 
 
@@ -549,13 +491,6 @@ def _similar_in(least: float) -> Callable:
     return run
 
 
-def in_tile_pairs(rows: DataFrame, tiles: Column, group: str, node: str) -> DataFrame:
-    """The rows with a new column key: each group's rows are dealt into tiles, and every two tiles of a group meet under one key, so every two rows do. tiles: how many."""
-    t = rows.withColumn("__t", tiles.cast("long")).withColumn("__i", F.pmod(F.xxhash64(node, F.lit(SEED)), F.col("__t")))
-    t = t.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1)))
-    return t.withColumn("key", F.xxhash64(group, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__t", "__i", "__j")
-
-
 def similar_sets(df: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """(node, root) of the sets of shingles that have a link: sets of one group of candidates and a Jaccard similarity of `least` or more.
 

@@ -245,3 +245,20 @@ def test_similar_sets_in_tiles(spark, monkeypatch):
             root[max(x, y)] = min(x, y)
     assert {n: roots.get(n, n) for n in root} == {n: find(n) for n in root}
     assert len({find(n) for n in root}) > 3
+
+
+def test_dense_buckets_lose_no_link(spark):
+    """A random family in one dense bucket, and fingerprints near to a single member each: every row of the bucket is compared with every other."""
+    rng = np.random.default_rng(8)
+    bits = np.tile(rng.integers(0, 2, 320, dtype=np.uint8), (900, 1)) ^ (rng.random((900, 320)) < 0.08)
+    near = bits[:60].copy()
+    for row in near:
+        row[12 + rng.choice(308, 52, replace=False)] ^= 1
+    every = np.concatenate([bits, near])
+    every[:, :12] = 0  # one value of the only partition
+    ids = rng.permutation(len(every))
+    packed = np.packbits(every, axis=1)
+    df = spark.createDataFrame([(int(i), bytes(r)) for i, r in zip(ids, packed, strict=True)], "id long, fp binary")
+    roots = {r["node"]: r["root"] for r in components(simhash.linked(df, len(every), 59, 320, ([list(range(12))], [0]), exact=False, dense=40)).collect()}
+    fps = {int(i): int.from_bytes(bytes(r), "big") for i, r in zip(ids, packed, strict=True)}
+    assert {i: roots.get(i, i) for i in fps} == brute_components(fps, 59)
