@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,10 @@ from pyspark.sql.window import Window
 PERIOD, BLOCK, POWER = 1000, 100, 0.5
 #: Hexadecimal digits of the hash range in which a source's rows are ranked on their own.
 DIGITS = 3
+#: A whole run holds target weights as whole shares of about this number, which bounds a source's blocks to 2^25.
+SHARES = 2**37
+#: Slots of a whole run that are scheduled before they are added to the others.
+STRETCH = 1000
 
 
 def quotas(sources: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, power: float = POWER) -> DataFrame:
@@ -56,7 +62,58 @@ def pattern(quota: DataFrame, period: int = PERIOD) -> DataFrame:
     return run.select("s", F.posexplode("out").alias("slot", "o")).select(F.element_at("s", F.col("o.i") + 1)["source"].alias("source"), F.col("o.k").alias("k"), F.col("slot").cast("long").alias("slot"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, period: int = PERIOD, block: int = BLOCK, power: float = POWER, carry: bool = False) -> DataFrame:
+def whole_run(sources: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, power: float = POWER) -> DataFrame:
+    """(source, quota, period, slots): the slots of all blocks of each source, in order, by Pfair's earliest deadline first over the whole run.
+
+    sources: (source, n), one row each. quota of period is the target weight but for its rounding to SHARES, which comes to
+    less than 1e-5 blocks in a million slots. Block b (from 0) may not start before slot floor(b * period / quota) and must
+    be done by the end of slot ceil((b + 1) * period / quota), so a source differs from its target weight by less than
+    one block at any time, for any number of sources. A source without a positive weight is an error. One row holds the
+    schedule, so its size is bounded by the slots up to the last block, and its time by slots times sources.
+    """
+    if weights is None:
+        w = F.pow(F.col("n").cast("double"), F.lit(power))
+    else:
+        w = F.element_at(F.create_map(*[F.lit(x) for kv in ((k, float(v)) for k, v in sorted(weights.items())) for x in kv]), F.col("source"))
+    w = F.when(w > 0, w).otherwise(F.raise_error(F.lit("a source has no positive target weight")).cast("double"))
+    share = sources.select("source", F.ceil(F.col("n") / block).cast("long").alias("blocks"), w.alias("w"))
+    share = share.select("source", "blocks", F.greatest(F.round(F.col("w") / F.sum("w").over(Window.partitionBy()) * F.lit(SHARES)).cast("long"), F.lit(1).cast("long")).alias("q"))  # one row per source
+    one = share.agg(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("minus"), "source", "blocks"))).alias("s"), F.sum("q").alias("p")).filter(F.size("s") > 0)
+
+    def up(x: Column, q: Column) -> Column:
+        return F.call_function("div", x + q - 1, q)
+
+    one = one.withColumn("stretches", up(F.array_max(F.transform("s", lambda x: up(x["blocks"] * F.col("p"), -x["minus"]))), F.lit(STRETCH).cast("long")))
+
+    def due(i: Column, got: Column) -> Column:
+        # the next block of the i-th source, of which it has got so many
+        q = -F.element_at("s", i + 1)["minus"]
+        return F.struct(up((got + 1) * F.col("p"), q).alias("d"), i.alias("i"), F.call_function("div", got * F.col("p"), q).alias("r"), got.alias("got"))
+
+    def once(x: Column, use: Callable[[Column], Column]) -> Column:
+        # use(x), with x computed a single time
+        return F.get(F.transform(F.array(x), use), 0)
+
+    def step(acc: Column, t: Column) -> Column:
+        def taken(best: Column) -> Column:
+            after = F.transform(acc["next"], lambda x: F.when(x["i"] == best, due(x["i"], x["got"] + 1)).otherwise(x))
+            return F.struct(after.alias("next"), F.concat(acc["out"], F.array(best)).alias("out"))
+
+        return once(F.array_min(F.filter(acc["next"], lambda x: x["r"] <= t))["i"], taken)
+
+    def stretch(acc: Column, c: Column) -> Column:
+        slots = F.sequence(c * STRETCH, (c + 1) * STRETCH - 1)
+        part = F.aggregate(slots, F.struct(acc["next"].alias("next"), F.array().cast("array<int>").alias("out")), step)
+        return once(part, lambda x: F.struct(x["next"].alias("next"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.transform("s", lambda x, i: due(i, F.lit(0).cast("long"))).alias("next"), F.array().cast("array<array<int>>").alias("out"))
+    run = one.select("s", "p", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("stretches") - 1), start, stretch, lambda acc: F.flatten(acc["out"])).alias("out"))
+    slots = run.select(F.posexplode("out").alias("slot", "i")).groupBy("i").agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("slots"))
+    named = run.select("p", F.posexplode("s").alias("i", "x")).select("i", "p", F.col("x.source").alias("source"), (-F.col("x.minus")).alias("quota"))
+    return named.join(slots, "i").select("source", "quota", F.col("p").alias("period"), "slots")
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, period: int = PERIOD, block: int = BLOCK, power: float = POWER, carry: bool = False, whole: bool = False) -> DataFrame:
     """(id_col, source, block, release, deadline, slot, place) per row of df, and with carry all other columns of df.
 
     Each source's rows, ordered by the MD5 of the id, are cut into blocks of `block` rows. Block b (from 0) has the
@@ -64,8 +121,13 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     `period` slots, so it is computed once for one period and holds for any number of blocks. Nothing is dropped: when
     a source has run out its slots stay empty and the others keep their order and their shares of what is left.
 
+    The quotas of a period are rounded and at least 1, so over many periods a source drifts from its target weight. With
+    whole, and in any case with more sources than the period has slots, the schedule is that of whole_run() instead,
+    which keeps to the target weights themselves; its slots are broadcast, one number for each block.
+
     Rows are ranked without bringing a source together: counts for each of 16^DIGITS hash ranges of a source are
-    summed up to offsets and rows ranked within their range, so a hot source spreads over all ranges. Sources are
+    summed up to offsets and rows ranked withtheir range, so a hot source spreads over all ranges. Only the
+    sources' table of quotas and the pattern of one period (of the whole run, its slots) are broadcast. spreads over all ranges. Sources are
     taken to be at most the period in number; only their table of quotas and the pattern of one period are broadcast.
 
     A null source is a source of its own, shown as null; a null id is hashed as empty; rows that repeat an id follow one
@@ -78,16 +140,30 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     counts = keyed.groupBy("__s", "__r").count()
     offsets = counts.select("__s", "__r", (F.sum("count").over(Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).alias("__o"))
     named = {f"={k}": v for k, v in weights.items()} if weights is not None else None
-    quota = quotas(counts.groupBy(F.col("__s").alias("source")).agg(F.sum("count").alias("n")), named, period, power)
-    slots = pattern(quota, period).join(F.broadcast(quota), "source").select(F.col("source").alias("__s"), F.col("k").alias("__k"), F.col("slot").alias("__slot"), F.col("quota").alias("__q"))
+    sources = counts.groupBy(F.col("__s").alias("source")).agg(F.sum("count").alias("n"))
     rank = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", id_col)) - 1
     placed = keyed.join(offsets, ["__s", "__r"]).withColumn("__n", F.col("__o") + rank).withColumn("block", F.floor(F.col("__n") / block).cast("long"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, source_col, "block", "release", "deadline", "slot", "place")] if carry else []
+    place = (F.col("__n") % block).cast("long").alias("place")
+    if whole or df.select(source_col).distinct().limit(period + 1).count() > period:
+        run = whole_run(sources, named, block, power).select(F.col("source").alias("__s"), F.col("quota").alias("__quota"), F.col("period").alias("__p"), F.col("slots").alias("__slots"))
+        return placed.join(F.broadcast(run), "__s").select(
+            id_col,
+            F.col(source_col).alias("source"),
+            *rest,
+            "block",
+            F.expr("block * __p div __quota").alias("release"),
+            F.expr("((block + 1) * __p + __quota - 1) div __quota").alias("deadline"),
+            F.element_at("__slots", (F.col("block") + 1).cast("int")).alias("slot"),
+            place,
+        )
+    quota = quotas(sources, named, period, power)
+    slots = pattern(quota, period).join(F.broadcast(quota), "source").select(F.col("source").alias("__s"), F.col("k").alias("__k"), F.col("slot").alias("__slot"), F.col("quota").alias("__q"))
     p = F.lit(period).cast("long")
     # a source has at most `period` blocks in a period, so slots has at most `period` rows
     quotas_of = quota.select(F.col("source").alias("__s"), F.col("quota").alias("__quota"))
     timed = placed.join(F.broadcast(quotas_of), "__s").withColumn("__k", F.col("block") % F.col("__quota") + 1).join(F.broadcast(slots), ["__s", "__k"])
     cycle = F.expr("block div __quota") * p
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, source_col, "block", "release", "deadline", "slot", "place")] if carry else []
     return timed.select(
         id_col,
         F.col(source_col).alias("source"),
@@ -96,5 +172,5 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
         F.expr(f"block * {period} div __quota").alias("release"),
         F.expr(f"((block + 1) * {period} + __quota - 1) div __quota").alias("deadline"),
         (cycle + F.col("__slot")).alias("slot"),
-        (F.col("__n") % block).cast("long").alias("place"),
+        place,
     )

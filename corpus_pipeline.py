@@ -30,7 +30,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its place in the mix of sources."""
-    return mixing.mixed(docs, carry=True)
+    return mixing.mixed(docs, carry=True, whole=True)
 
 
 STAGES = [

@@ -141,6 +141,33 @@ def test_mixed(spark):
     assert {r["source"]: r["quota"] for r in given} == {"a": 749, "b": 250, "c": 1} and sum(r["quota"] for r in given) == 1000
 
 
+@pytest.mark.parametrize("weights", [{"hot": 0.5} | {f"s{k}": 0.5 / 19 for k in range(19)}, {"hot": 0.9} | {f"s{k}": 0.1 / 99 for k in range(99)}, {"hot": 0.9999, "rare": 0.0001}, {f"s{k}": 1 for k in range(1500)}, None])
+def test_whole_run_keeps_to_weights(spark, weights):
+    """Over several periods of 1,000 slots no source is ever a whole block off its target weight, with over 1,000 sources too."""
+    total = sum(weights.values()) if weights else 0
+    blocks = {s: max(1, round(w / total * 2500)) for s, w in weights.items()} if weights else {"a": 900, "b": 1500, "c": 70, "d": 5}
+    sources = spark.createDataFrame([(s, n * 100) for s, n in blocks.items()], "source string, n long")
+    rows = {r["source"]: r for r in mixing.whole_run(sources, weights).collect()}
+    if weights is None:
+        weights = {s: n**0.5 for s, n in blocks.items()}
+        total = sum(weights.values())
+    assert set(rows) == set(weights) and all(len(r["slots"]) >= blocks[s] for s, r in rows.items())
+    taken = [t for r in rows.values() for t in r["slots"]]
+    assert sorted(taken) == list(range(len(taken))) and len(taken) >= 2500
+    for s, r in rows.items():
+        w = weights[s] / total
+        for b, t in enumerate(r["slots"]):  # just before and just after each block
+            assert abs(b - w * t) < 1 + 1e-4 and abs(b + 1 - w * (t + 1)) < 1 + 1e-4
+
+
+def test_mixed_whole(spark):
+    df = spark.range(6000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'hot' else concat('s', id % 2400) end as source", "'x' as extra")
+    for got in (mixing.mixed(df, block=2).collect(), mixing.mixed(df.filter("source = 'hot' or doc_id % 5 = 1"), block=2, whole=True).collect()):
+        assert len({(r["slot"], r["place"]) for r in got}) == len(got) >= 3000
+        assert all(0 <= r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert mixing.mixed(df.limit(0), whole=True).count() == 0
+
+
 def test_mixed_odd(odd, empty):
     assert mixing.mixed(odd).count() == odd.count()
     assert mixing.mixed(empty).count() == 0
