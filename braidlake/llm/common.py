@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 
 #: Stands in for a null integer identifier, which thus counts as the largest of all.
 NO_ID = 2**63 - 1
+#: A node of more children than HUB is a hub in components(), which broadcasts at most HUBS of them.
+HUB, HUBS = 500, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset (local tests) a temporary one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the session's checkpoint folder. Where neither is set, a local
+    master gets a temporary folder; a cluster, whose machines would each write to a disk of their own, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="braidlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,7 +59,20 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def id_or_max(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+    """An integer identifier as a long, null as the largest one. Text is read as a number; what is none is an error that says so."""
+    c, number = F.col(f"`{name}`"), F.col(f"`{name}`").try_cast("long")
+    return F.when(c.isNull(), NO_ID).when(number.isNull(), F.raise_error(F.concat(F.lit(f"no integer identifier in {name}: "), c.cast("string"))).cast("long")).otherwise(number)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed to c0, c1, ..., so that no column of a user's can clash with an operator's own, and these names. named() undoes it."""
+    inner = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*inner), inner
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns c0, c1, ... of df under their names again; other columns go."""
+    return df.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
 
 
 def id_or_null(c: Column) -> Column:
@@ -84,21 +102,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     root is the smallest id of the component. Each round hangs every node under its smallest neighbour, links its
     other smaller neighbours to that one and halves the paths, all by aggregation and equi-joins keyed by the larger
-    end, so a hub is no hot key once it is a root; AQE splits the joins' skewed partitions. Rounds grow with the
-    logarithm of the longest path. Every round is written to the shared folder and the last but one removed.
+    end. Nodes of very many neighbours are the hot keys: those of more than max(HUB, rows / HUBS) children or parents, of
+    which there are at most HUBS, are broadcast, so the rows of their neighbours stay where they are. Rounds grow
+    with the logarithm of the longest path. Every round is written to the shared folder and the last but one removed.
     """
     e = edges.select(F.greatest(a, b).alias("c"), F.least(a, b).alias("p")).filter("c <> p").distinct()
     e = stored(e, "edges")
     for _ in range(most_rounds):
-        least = e.groupBy("c").agg(F.min("p").alias("r"), F.max("p").alias("x"))
+        least = stored(e.groupBy("c").agg(F.min("p").alias("r"), F.max("p").alias("x"), F.count("*").alias("n")), "least")
         up = least.select(F.col("c").alias("r"), F.col("r").alias("rr"))
-        jumped = least.join(up, "r", "left").select("c", F.coalesce("rr", "r").alias("p"), F.expr("rr is not null or x <> r").alias("moved"))
-        # only nodes with several parents send links on; joined per node, both sides keyed by it
-        more = least.filter("x <> r").select("c", "r")
-        links = e.join(more, "c").filter("p <> r").select(F.col("p").alias("c"), F.col("r").alias("p"), F.lit(True).alias("moved"))
+        crowd = max(HUB, e.count() // HUBS)
+        hubs = least.groupBy("r").count().filter(F.col("count") > crowd).select("r")  # at most HUBS rows
+        hubs = hubs.join(up, "r", "left").select(F.col("r").alias("hub"), F.col("rr").alias("hub_up"))
+        split = least.join(F.broadcast(hubs), F.col("r") == F.col("hub"), "left")
+        calm = split.filter("hub is null").select("c", "r", "x").join(up, "r", "left")
+        crowded = split.filter("hub is not null").select("r", "c", "x", F.col("hub_up").alias("rr"))
+        jumped = calm.unionByName(crowded).select("c", F.coalesce("rr", "r").alias("p"), F.expr("rr is not null or x <> r").alias("moved"))
+        # only nodes with several parents send links on; joined per node, those of very many by broadcast
+        more = least.filter("x <> r").select(F.col("c").alias("node"), "r", "n")
+        wide = e.join(F.broadcast(more.filter(F.col("n") > crowd)), F.col("c") == F.col("node"), "left").select("c", "p", "r")  # at most HUBS nodes
+        few = wide.filter("r is null").select("c", "p").join(more.filter(F.col("n") <= crowd), F.col("c") == F.col("node"))
+        links = wide.filter("r is not null").select("p", "r").union(few.select("p", "r")).filter("p <> r").select(F.col("p").alias("c"), F.col("r").alias("p"), F.lit(True).alias("moved"))
         after = stored(jumped.union(links).groupBy("c", "p").agg(F.max("moved").alias("moved")), "edges")
         moved = after.filter("moved").limit(1).count()
-        dropped(e)
+        for old in (e, least):
+            dropped(old)
         e = after
         if not moved:
             return e.select(F.col("c").alias("node"), F.col("p").alias("root")).union(e.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import byte_texts, components, id_or_max, id_or_null, shuffle_width, stored
+from braidlake.llm.common import byte_texts, components, id_or_max, id_or_null, named, numbered, shuffle_width, stored
 
 SEED = 42
 #: A bucket of more different fingerprints than this is split again instead of being compared as a whole.
@@ -106,20 +106,25 @@ def set_number(distinct: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
 
 
+def text_number(text_col: str) -> Column:
+    """A 64-bit number of a text, null as empty: with the id it tells a row's text from others of the same id."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def numbered_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words: int, repeats: bool) -> DataFrame:
-    """(id, fp binary, shs) for each row: fingerprints() and the number of the text's set of shingles."""
+    """(id, th, fp binary, shs) for each row: fingerprints(), the number of the text and that of its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, numbers = [], []
-            for t in byte_texts(b.column(1)):
+            for t in byte_texts(b.column(2)):
                 h = shingles(t, shingle)
                 distinct = np.unique(h)
                 fps.append(_majority(h if repeats else distinct, words) if len(h) else bytes(8 * words))
                 numbers.append(set_number(distinct))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, type=pa.binary()), pa.array(numbers, type=pa.int64())], names=["id", "fp", "shs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, type=pa.binary()), pa.array(numbers, type=pa.int64())], names=["id", "th", "fp", "shs"])
 
-    return df.select(id_or_max(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp binary, shs long")
+    return df.select(id_or_max(id_col).alias("id"), text_number(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, th long, fp binary, shs long")
 
 
 # ---------------------------------------------------------------- the plan: partitions and thresholds
@@ -384,28 +389,25 @@ def linked(fps: DataFrame, n: int, distance: int, bits: int, plan: tuple[list[li
     parts, limits = plan
     size, width = bits // 8, shuffle_width(fps.sparkSession)
     sig = fps.select("id", "fp").mapInArrow(_signatures(parts, limits, size), _SIG)
-    if n <= dense:
-        return _verified(sig, distance, size, width)
     edges: DataFrame | None = None
-    for _ in range(12):
+    while True:
         heavy = stored(sig.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense), "dense")
+        if heavy.isEmpty():
+            one = _verified(sig, distance, size, width)
+            return one if edges is None else edges.union(one)
         one = _verified(sig.join(heavy, "key", "left_anti"), distance, size, width)
         edges = one if edges is None else edges.union(one)
-        if heavy.isEmpty():
-            return edges
         if not exact:
             pairs = in_tile_pairs(sig.join(heavy, "key").withColumnRenamed("key", "bucket"), F.ceil(F.col("n") / (2 * dense)), "bucket", "id")
             return edges.union(_verified(pairs, distance, size, width))
+        # each round takes a cut of the free bits away, and few free bits have few different fingerprints, so a dense bucket is never left at the end
         sig = stored(sig.join(heavy, "key", "left_semi").select("key", "probe", "fp", "id", "path").mapInArrow(_resplit(parts, distance, size), _SIG), "split")
-    # all cuts are used up: what is left shares almost all bits
-    return edges.union(_verified(sig, distance, size, width))
 
 
 def planned(fps: DataFrame, n: int, distance: int, bits: int, m: int | None = None) -> tuple[list[list[int]], list[int]]:
     """Partitions of correlated bits and their thresholds, which sum to distance - m + 1 (generalised pigeonhole).
 
-    m: by the cost model, probes plus candidates if bits were fair. The thresholds: by dynamic programming on estimated
-    candidate counts, the sum of squares of each partition's value counts over all fingerprints times the ball probed.
+    m: by the cost model, probes plus candidates if bits were fair. The thresholds: see thresholds().
     """
 
     def guess(m: int) -> float:
@@ -415,6 +417,12 @@ def planned(fps: DataFrame, n: int, distance: int, bits: int, m: int | None = No
 
     m = m or min(range(max(1, min(2, distance + 1)), distance + 2), key=guess)
     parts = grouped_bits(correlations(fps, bits, bits)[0], m)
+    return parts, thresholds(fps, n, parts, bits, distance - m + 1, distance)
+
+
+def thresholds(fps: DataFrame, n: int, parts: list[list[int]], bits: int, total: int, most: int) -> list[int]:
+    """Thresholds of -1 to `most` for each partition that sum to `total`, by dynamic programming on estimated candidate counts: the sum of squares of
+    a partition's value counts over all n fingerprints times the ball probed, and the probes themselves."""
     size = bits // 8
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,8 +432,8 @@ def planned(fps: DataFrame, n: int, distance: int, bits: int, m: int | None = No
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), k, np.int32)), pa.array(_values(cols, p).view(np.int64))], names=["k", "v"])
 
     same = {k: float(s) for k, s in fps.select("fp").mapInArrow(values, "k int, v long").groupBy("k", "v").count().groupBy("k").agg(F.sum(F.col("count").cast("double") * F.col("count"))).collect()}  # m rows
-    cost = [[0.0, *(n * ball(len(p), t) * (1 if t == 0 else 2) + same.get(k, 0.0) * ball(len(p), t) for t in range(distance + 1))] for k, p in enumerate(parts)]
-    return parts, allocated(cost, distance - m + 1)
+    cost = [[0.0, *(n * ball(len(p), t) * (1 if t == 0 else 2) + same.get(k, 0.0) * ball(len(p), t) for t in range(most + 1))] for k, p in enumerate(parts)]
+    return allocated(cost, total)
 
 
 # ---------------------------------------------------------------- Jaccard similarity
@@ -494,20 +502,22 @@ def _similar_in(least: float) -> Callable:
 def similar_sets(df: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """(node, root) of the sets of shingles that have a link: sets of one group of candidates and a Jaccard similarity of `least` or more.
 
-    found: (id, shs, grp) for each row of df. Every two different sets of a group are compared by their shingles, which
-    are made again for groups of two sets or more only; large groups are compared tile by tile.
+    found: (id, shs, grp) for each row of df, and th, the text's number, where ids repeat or are null. Every two different
+    sets of a group are compared by their shingles, which are made again for groups of two sets or more only; large groups
+    are compared tile by tile.
     """
-    one = found.groupBy("grp", "shs").agg(F.min("id").alias("id"))
+    key = ["id", "th"] if "th" in found.columns else ["id"]
+    one = found.groupBy("grp", "shs").agg(F.min(F.struct(*key)).alias("row"))
     many = one.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = stored(one.join(many, "grp").select("id", "shs", "grp"), "asked")
+    asked = stored(one.join(many, "grp").select("row.*", "shs", "grp"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingles(t, shingle)) for t in byte_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("shs"), b.column("grp"), pa.array([set_number(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["shs", "grp", "own", "shingles"])
 
-    texts = df.select(id_or_max(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(asked, "id")
-    # an id may have several texts: only the one that was asked for
+    texts = df.select(id_or_max(id_col).alias("id"), text_number(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).join(asked, key)
+    # without th an id may have several texts: only the one that was asked for
     sets = stored(texts.select("shs", "grp", "text").mapInArrow(run, "shs long, grp long, own long, shingles binary").filter("own = shs").select("shs", "grp", "shingles"), "shingles")
     sizes = sets.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.length("shingles")) / TILE_BYTES)).alias("tiles"))
     dealt = in_tile_pairs(sets.join(sizes, "grp"), F.col("tiles"), "grp", "shs")
@@ -516,18 +526,23 @@ def similar_sets(df: DataFrame, found: DataFrame, id_col: str, text_col: str, sh
 
 
 def banded_components(df: DataFrame, id_col: str, text_col: str, shingle: int, distance: float, dense: int, repeats: bool, least: float) -> DataFrame:
-    """(id, fp, component) for each row of df by the banded plan; component is a number of the sets of shingles that are linked."""
+    """(id, th, fp, component) for each row of df by the banded plan; component is a number of the sets of shingles that are linked.
+
+    Fingerprints and sets go by 64-bit numbers, whatever ids their rows have. Two fingerprints of one number would only
+    share a group of candidates; two different sets of one number (2^-64 a pair) would count as one.
+    """
     w, m = banded_width(df.count())
     words = math.ceil(m * w / 64)
     bits = 64 * words
     docs = stored(numbered_fingerprints(df, id_col, text_col, shingle, words, repeats), "fingerprints")
     fps = stored(docs.select("fp").distinct().select("fp", F.xxhash64("fp").alias("id")), "distinct")
-    parts = banded_parts(fps, bits, w)
-    groups = components(linked(fps, fps.count(), math.floor((distance + SLACK) * bits), bits, (parts, [0] * len(parts)), exact=False, dense=dense))
+    parts, n = banded_parts(fps, bits, w), fps.count()
+    limits = thresholds(fps, n, parts, bits, 0, 1)
+    groups = components(linked(fps, n, math.floor((distance + SLACK) * bits), bits, (parts, limits), exact=False, dense=dense))
     grouped = docs.withColumn("own", F.xxhash64("fp")).join(groups, F.col("own") == groups.node, "left")
-    found = stored(grouped.select("id", "fp", "shs", F.coalesce("root", "own").alias("grp")), "candidates")
-    roots = similar_sets(df, found.select("id", "shs", "grp"), id_col, text_col, shingle, least)
-    return found.join(roots, found.shs == roots.node, "left").select("id", "fp", F.coalesce("root", "shs").alias("component"))
+    found = stored(grouped.select("id", "th", "fp", "shs", F.coalesce("root", "own").alias("grp")), "candidates")
+    roots = similar_sets(df, found.select("id", "th", "shs", "grp"), id_col, text_col, shingle, least)
+    return found.join(roots, found.shs == roots.node, "left").select("id", "th", "fp", F.coalesce("root", "shs").alias("component"))
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, words: int = 1, plan: str = "exact", dense: int = DENSE, repeats: bool = True, similar: float = SIMILAR) -> DataFrame:
@@ -544,10 +559,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     plan "banded": texts link at a Jaccard similarity of `similar` or more of their distinct shingles, which is verified
     for every link; SimHash only raises the candidates. It stands for distances at which exact probing nears comparing
-    all pairs. Partitions of w = log2(n) - 9 bits (12 or more), thresholds 0, on as many words of SimHash as that takes
-    (`words` is then ignored and `distance` is a share of the bits): pairs that differ in fewer bits than there are
-    partitions m are certain to meet, others with a probability of about 1 - (1 - (1 - p)^w)^m for a share p of differing
-    bits. m grows with n so that this stays at RECALL for a share of NEAR_SHARE: 26 partitions of 12 bits up to three
+    all pairs. Partitions of w = log2(n) - 9 bits (12 or more) on as many words of SimHash as that takes (`words` is then
+    ignored and `distance` is a share of the bits), with thresholds of -1 to 1 that sum to 0, by the same dynamic
+    programming: pairs that differ in fewer bits than there are partitions m are certain to meet, others with a probability
+    of 1 - (1 - (1 - p)^w)^m or more for a share p of differing bits, as a partition probed at one bit makes up for more
+    than one that is left out. m grows with n so that this stays at RECALL for a share of NEAR_SHARE: 26 partitions of 12 bits up to three
     million rows, 44 of 15 bits at 15 million. Fingerprints that met and differ in at most `distance` + SLACK of the bits
     are chained into groups, and every two different sets of shingles of a group are compared.
 
@@ -562,21 +578,31 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return docs.join(least, "component").select(id_or_null(F.col("id")).alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), id_or_null(F.col("least")).alias("component_id"))
     bits = 64 * words
     docs = stored(fingerprints(df, id_col, text_col, shingle, words, repeats), "fingerprints")
-    fps = stored(docs.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+    # a node is a fingerprint with a number of its own, as ids may be null or belong to several texts
+    fps = stored(docs.groupBy("fp").agg(F.min("id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "distinct")
     n = fps.count()
     edges = linked(fps, n, distance, bits, planned(fps, n, distance, bits), dense=dense)
-    roots = components(edges)
-    named = fps.join(roots, fps.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component"))
-    return docs.join(named, "fp").select(id_or_null(F.col("id")).alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), id_or_null(F.col("component")).alias("component_id"))
+    joined = stored(components(edges).join(fps, F.col("node") == F.col("id")).select("fp", "root", "least"), "joined")
+    roots = joined.groupBy("root").agg(F.min("least").alias("smallest"))
+    merged = joined.join(roots, "root").select("fp", "smallest")
+    owners = fps.join(merged, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
+    return docs.join(owners, "fp").select(id_or_null(F.col("id")).alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), id_or_null(F.col("component")).alias("component_id"))
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: float = 0.185) -> DataFrame:
-    """The rows of df whose id is the smallest of their component under the banded plan: of texts that are linked by a Jaccard
-    similarity of 0.8 or more of their distinct shingles.
+    """One row of each component of df under the banded plan, with its columns: of texts that are linked by a Jaccard similarity
+    of 0.8 or more of their distinct shingles, that of the smallest id; of several texts with this id, that of the smallest number.
 
     distance is a share of bits, and SLACK is added to it for candidates. Two shingle sets of one size and a Jaccard similarity
     of 0.8 differ in 15.1 % of the bits on average, with a deviation of 2 points at 320 bits.
+
+    Null texts count as empty, and all texts without words are one component; a null id counts as the largest one, but
+    different texts without id, or of one id, stay apart; of rows that share id and text any one stays; long texts are read
+    as a whole; an empty table gives an empty result; columns may have any name and type.
     """
     found = banded_components(df, id_col, text_col, shingle, distance, DENSE, False, SIMILAR)
-    kept = found.groupBy("component").agg(F.min("id").alias("__id")).select("__id").distinct()
-    return df.withColumn("__id", id_or_max(id_col)).join(kept, "__id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("row")).select(F.col("row.id").alias("id"), F.col("row.th").alias("th"))
+    rows, inner = numbered(df)
+    at = {n: c for n, c in zip(df.columns, inner, strict=True)}
+    keyed = rows.select("*", id_or_max(at[id_col]).alias("id"), text_number(at[text_col]).alias("th"))
+    return named(keyed.dropDuplicates(["id", "th"]).join(kept, ["id", "th"], "left_semi"), df.columns)
