@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,16 +16,12 @@ from braidlake.llm.common import byte_texts, id_or_max, id_or_null, remainder
 #: Buckets of hashed n-grams, bound of the labelled sample (documents), least per language, passes of the optimiser.
 BUCKETS, SAMPLE, LEAST, PASSES = 2048, 6000, 200, 60
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else 32 if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256)], dtype=np.uint32)
 
 
 def has_letter(text: bytes) -> bool:
-    """Looks in pieces, so that long texts are decoded only as far as needed."""
-    for at in range(0, len(text), 4096):
-        if _LETTER.search(text[at : at + 4100].decode("utf-8", "ignore")):
-            return True
-    return False
+    """Whether a character is of Unicode's category L, which digits, fractions, Roman numerals and circled signs are not. Looks in pieces, so that long texts are decoded only as far as needed."""
+    return any(c.isalpha() for at in range(0, len(text), 4096) for c in text[at : at + 4100].decode("utf-8", "ignore"))
 
 
 def features(text: bytes) -> np.ndarray:
@@ -98,16 +93,17 @@ def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t).astype(np.float16).tobytes() for t in byte_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(x, type=pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(x, type=pa.binary())], names=["id", "lang", "x"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, x binary")
+    return rows.select("id", "lang", "text").mapInArrow(run, "id string, lang string, x binary")
 
 
 def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> Model:
     """Fits on about `sample` labelled documents (at most sample + least per language) whose id has another remainder than 0.
 
     The sample is drawn by the hash of the id, at a rate per language from counts over all rows: all of a language
-    with no more than its even share or `least`, otherwise that many.
+    with no more than its even share or `least`, otherwise that many. Rows that share id and language count once, as
+    that of the least features, so that a repeated id can't swell the sample.
     """
     text = F.col(text_col).cast("string")
     rows = df.filter((remainder(id_col) != 0) & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
@@ -117,7 +113,7 @@ def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rates = {k: min(1.0, max(least, sample // len(counts)) / n) for k, n in counts.items()}
     rate = F.element_at(F.create_map(*[F.lit(v) for kv in rates.items() for v in kv]), F.col("lang"))
     drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_003)) < rate * 1_000_003).filter(F.col("text").isNotNull())
-    got = sorted((r["lang"], bytes(r["x"])) for r in _featured(drawn).collect())
+    got = sorted((r["lang"], bytes(r["x"])) for r in _featured(drawn).groupBy("id", "lang").agg(F.min("x").alias("x")).collect())
     x = np.frombuffer(b"".join(b for _, b in got), dtype=np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return fitted(x, [k for k, _ in got])
 
