@@ -23,10 +23,10 @@ _SHAPES = (re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(r
 
 
 def shape(word: bytes) -> bytes:
-    """A word with runs of lower-case letters as a, upper-case as A, digits as 0; other characters stay, cut off after 12 signs."""
+    """A word with runs of lower-case letters as a, upper-case as A, digits as 0; other characters stay."""
     for r, to in zip(_SHAPES, (b"a", b"A", b"0"), strict=True):
         word = r.sub(to, word)
-    return b"\x00" + word[:12]
+    return b"\x00" + word
 
 
 class _Buckets(dict):
@@ -186,19 +186,19 @@ def _pool(rows: DataFrame, context: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, buckets = index_vectors(), _Buckets()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([pooled(t, index, context, buckets).tobytes() for t in byte_texts(b.column("text"))], type=pa.binary())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("label"), pa.array([pooled(t, index, context, buckets).tobytes() for t in byte_texts(b.column("text"))], type=pa.binary())], names=["k", "label", "x"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, x binary")
+    return rows.select(F.col("k").cast("string").alias("k"), "label", "text").mapInArrow(run, "k string, label int, x binary")
 
 
 def learned(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
-    """Word vectors from all texts; the network from at most `sample` labelled ids (documented bound) whose remainder is not 0, those of least hash. Null labels are left out; of several labels of an id the smallest counts."""
+    """Word vectors from all texts; the network from at most `sample` labelled ids (documented bound) whose remainder is not 0, those of least hash. Null labels are left out; of several labels of an id the smallest counts, and of several texts that of the least vector, so the driver gets one row for each id."""
     context = context_vectors(df, text_col)
     known = labels.filter((remainder(id_col) != 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("k"), "k").limit(sample)
     # at most `sample` rows of two numbers
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "k")
-    got = sorted((bytes(r["x"]), r["label"]) for r in _pool(rows, context).collect())[: 4 * sample]
+    got = sorted((bytes(r["x"]), r["label"]) for r in _pool(rows, context).groupBy("k", "label").agg(F.min("x").alias("x")).collect())
     x = np.frombuffer(b"".join(b for b, _ in got), dtype=np.float32).reshape(-1, WIDTH).astype(np.float64)
     return fitted(x, np.array([k for _, k in got], dtype=float), context)
 
@@ -229,7 +229,12 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(df: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **kwargs) -> DataFrame:
-    """The rows of df that the classifier accepts, with their columns; the whole rows pass through the scoring task, so nothing is shuffled."""
+    """The rows of df whose score is `threshold` or more, with their columns; the whole rows pass through the scoring task, so nothing is shuffled.
+
+    Null and empty texts are scored like any text without words; null and repeated ids are kept apart by nothing but their
+    texts, so repeated rows stay or go together; texts are scored as a whole however long; an empty table gives an empty result, and
+    without labels every row stays (score 0.5); columns may have any name, and any type that Arrow has.
+    """
     net = learned(df, labels, text_col=text_col, **kwargs)
     sent = df.sparkSession.sparkContext.broadcast(tuple(vars(net).values()))  # plain arrays: broadcasts are not pickled by value
     at = df.columns.index(text_col)
