@@ -43,11 +43,12 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def _published(fs: pafs.FileSystem, part: str, path: str) -> None:
-    """Puts a finished file in its place; another attempt's file of the same content gives way."""
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
-    fs.move(part, path)
+def _cleared(folder: str, keep: set[str]) -> None:
+    """Deletes what repeated or lost attempts have left in a folder: all files but those of the attempts that count."""
+    fs, root = _opened(folder)
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name not in keep:
+            fs.delete_file(f.path)
 
 
 # ---------------------------------------------------------------- monolithic archives
@@ -56,39 +57,41 @@ def _published(fs: pafs.FileSystem, part: str, path: str) -> None:
 def write_archives(typed: DataFrame, folder: str) -> list[str]:
     """Writes (id, url, payload, refers_to) as one whole-file gzip stream per partition; gives the files that have records.
 
-    A task writes under a name of its own and renames at the end, so a repeated or lost attempt leaves no half file.
+    Each attempt of a task writes a file of its own name, and only the files that Spark takes as the tasks' results count;
+    those of other attempts are deleted at the end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _opened(folder)
-        path = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        part, sink, gz, n = f"{path}.{uuid.uuid4().hex}", None, zlib.compressobj(6, zlib.DEFLATED, 31), 0
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        sink, gz, n = None, zlib.compressobj(6, zlib.DEFLATED, 31), 0
         for b in batches:
             for i, url, payload, other in zip(b.column("id").to_pylist(), byte_texts(b.column("url")), byte_texts(b.column("payload")), b.column("refers_to").to_pylist(), strict=True):
                 if sink is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(part, compression=None)
+                    sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                 sink.write(gz.compress(record(i, url, payload, digest32(payload), other)))
                 n += 1
         if sink is not None:
             sink.write(gz.flush())
             sink.close()
-            _published(fs, part, path)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([n], type=pa.int64())], names=["path", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], type=pa.int64())], names=["path", "n"])
 
-    return sorted(r["path"] for r in typed.mapInArrow(run, "path string, n long").collect())  # one row per file
+    paths = sorted(r["path"] for r in typed.mapInArrow(run, "path string, n long").collect())  # one row per file
+    _cleared(folder, {p.rsplit("/", 1)[1] for p in paths})
+    return paths
 
 
 # ---------------------------------------------------------------- normaliser
 
 
 def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in pieces of bounded size."""
+    """The content of a gzip file of one or more members, in pieces of bounded size. Each member must have its whole trailer; a file without any byte is cut off as well."""
     gz, data = zlib.decompressobj(31), b""
     while True:
         data = data or read(CHUNK)
         if not data:
-            if not gz.eof and gz.unconsumed_tail:
+            if not gz.eof:
                 raise ValueError("the gzip stream is cut off")
             return
         if gz.eof:
@@ -136,8 +139,8 @@ def normalise_file(source: str, target: str) -> int:
     fs, path = _opened(source)
     out_fs, out_path = _opened(target)
     out_fs.create_dir(out_path.rsplit("/", 1)[0], recursive=True)
-    part, lines, offset = f"{out_path}.{uuid.uuid4().hex}", [], 0
-    with fs.open_input_stream(path, compression=None) as f, out_fs.open_output_stream(part, compression=None) as sink:
+    lines, offset = [], 0
+    with fs.open_input_stream(path, compression=None) as f, out_fs.open_output_stream(out_path, compression=None) as sink:
         for headers, head, body in split_records(inflated(f.read)):
             gz, start = zlib.compressobj(6, zlib.DEFLATED, 31), offset
             for piece in itertools.chain([head], body):
@@ -148,11 +151,8 @@ def normalise_file(source: str, target: str) -> int:
             sink.write(data)
             offset += len(data)
             lines.append(f"{headers['warc-record-id'].removeprefix('<urn:page:').removesuffix('>')} {start} {offset - start} {headers['warc-type']} {headers.get('warc-payload-digest', '-')}\n")
-    index = f"{out_path}.cdx.{uuid.uuid4().hex}"
-    with out_fs.open_output_stream(index) as f:
+    with out_fs.open_output_stream(f"{out_path}.cdx") as f:
         f.write("".join(lines).encode())
-    _published(out_fs, index, f"{out_path}.cdx")
-    _published(out_fs, part, out_path)
     return len(lines)
 
 
@@ -162,16 +162,18 @@ def _each(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def normalise(spark: SparkSession, paths: list[str], folder: str) -> list[str]:
-    """Normalises gzip archives, one task each, into folder; gives the new files, whose index is beside each."""
+    """Normalises gzip archives, one task each, into folder; gives the new files, whose index is beside each. As in write_archives, each attempt has file names of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
-                target = f"{folder}/{paths[i].rsplit('/', 1)[1]}"
+                target = f"{folder}/{paths[i].rsplit('/', 1)[1].removesuffix('.warc.gz')}-{uuid.uuid4().hex[:12]}.warc.gz"
                 n = normalise_file(paths[i], target)
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], type=pa.int64())], names=["path", "n"])
 
-    return sorted(r["path"] for r in _each(spark, paths).mapInArrow(run, "path string, n long").collect())
+    made = sorted(r["path"] for r in _each(spark, paths).mapInArrow(run, "path string, n long").collect())
+    _cleared(folder, {name for p in made for name in (p.rsplit("/", 1)[1], p.rsplit("/", 1)[1] + ".cdx")})
+    return made
 
 
 # ---------------------------------------------------------------- reading through the index
