@@ -20,7 +20,10 @@ def reversed_key(host: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules: tuple = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    """Rules (verdict, host, path) as a table of constants; null or missing parts are null."""
+    kind = "array<struct<verdict:string,host:string,path:string>>"
+    book = F.array(*[F.struct(*[F.lit(x) for x in r]) for r in rules])
+    return spark.range(1).select(F.inline(book.cast(kind)))
 
 
 def _search(key: Column, splitters: list[str]) -> Column:
@@ -40,8 +43,8 @@ def url_filter(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     A rule fits its host and all subdomains if the url's path starts with the rule's path; the longest rule (host and
     path together, then host, then the larger verdict word) wins, and rule is its host and path; without one: null and
     `default`. Method: sort-merge range join. A host's canonical key is its labels reversed, so each rule's host is an
-    interval of keys and the intervals nest. Sampled splitters of at most 256 characters, PER_BUCKET for each shuffle
-    partition (the one thing the driver collects), deal keys into ranges; the key carries a hash of the url, so one hot
+    interval of keys and the intervals nest. Splitters of at most SPLIT_CHARS characters, one for each shuffle partition
+    (the one thing the driver collects) from PER_BUCKET times as many sampled keys, deal keys into ranges; the key carries a hash of the url, so one hot
     host spreads over many ranges. A rule goes to each range that its interval meets: at most one more copy for each
     splitter and level of nesting. Within a range events and urls are sorted by key, and a running window carries the
     stack of active rules: an opening rule puts its stack, a closing one that of the rule around it.
@@ -89,7 +92,8 @@ def _splitters(probes: DataFrame, width: int) -> list[str]:
     """Keys that cut the urls into `width` ranges of about the same size, from PER_BUCKET * width keys of smallest hash."""
     if width < 2:
         return []
-    sample = probes.select(F.substring("key", 1, SPLIT_CHARS).alias("k"), F.xxhash64("key", "id").alias("x")).orderBy("x").limit(PER_BUCKET * width).collect()
-    keys = sorted((r["k"] for r in sample), key=lambda k: k.encode())
-    cut = [keys[len(keys) * i // width] for i in range(1, width)] if keys else []
-    return sorted(set(cut), key=lambda k: k.encode())
+    sample = probes.select(F.substring("key", 1, SPLIT_CHARS).alias("k"), F.xxhash64("key", "id").alias("x")).orderBy("x").limit(PER_BUCKET * width)
+    # the sample is sorted and cut on an executor; the driver gets the splitters
+    keys = sample.agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    cut = keys.select(F.expr(f"case when size(keys) = 0 then array() else array_distinct(transform(sequence(1, {width - 1}), i -> keys[cast(size(keys) * i div {width} as int)])) end").alias("cut"))
+    return list(cut.first()["cut"])
