@@ -8,28 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from braidlake.llm.common import numbered
+
 #: Slots of one period of the schedule, documents of a block, power of a source's size that gives its default weight.
 PERIOD, BLOCK, POWER = 1000, 100, 0.5
-#: Hexadecimal digits of the hash range in which a source's rows are ranked on their own.
-DIGITS = 3
+#: Least number of hexadecimal digits of the hash range in which a source's rows are ranked on their own, and the rows of a range, about, beyond which it grows.
+DIGITS, RANGE = 3, 4096
 #: A whole run holds target weights as whole shares of about this number, which bounds a source's blocks to 2^25.
 SHARES = 2**37
-#: Slots of a whole run that are scheduled before they are added to the others.
-STRETCH = 1000
+#: Slots of a whole run that are scheduled before they are added to the others; a run of more than SLOTS slots and more than STEPS slots times sources gets larger blocks.
+STRETCH, SLOTS, STEPS = 1000, 2**14, 2**24
+#: Columns of the schedule in the result of mixed(); columns of df with these names get the ending "_given".
+SCHEDULE = ("source", "block", "release", "deadline", "slot", "place")
 
 
 def quotas(sources: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, power: float = POWER) -> DataFrame:
     """(source, quota): whole slots of a period for each source, at least 1, that sum to the period (largest remainders; ties by name).
 
     sources: (source, n), one row each. weights: target weights by name, of which those present are brought to a sum
-    of one; without it n to the power. The period must be at least the number of sources.
+    of one; without it n to the power. The period must be at least the number of sources. Weights that are positive for
+    none of the sources are an error.
     """
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(power))
     else:
         w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ((k, float(v)) for k, v in sorted(weights.items())) for x in kv]), F.col("source")), F.lit(0.0))
     every = Window.partitionBy()  # one row per source
-    share = sources.select("source", w.alias("w")).select("source", (F.col("w") / F.sum("w").over(every) * (period - F.count("*").over(every))).alias("x"))
+    share = sources.select("source", w.alias("w")).withColumn("all", F.sum("w").over(every))
+    share = share.withColumn("all", F.when(F.col("all") > 0, F.col("all")).otherwise(F.raise_error(F.lit("no source has a positive target weight")).cast("double")))
+    share = share.select("source", (F.col("w") / F.col("all") * (period - F.count("*").over(every))).alias("x"))
     base = share.select("source", (F.floor("x") + 1).cast("long").alias("q"), (F.round(F.col("x") - F.floor("x"), 9)).alias("rest"))
     spare = F.lit(period).cast("long") - F.sum("q").over(every)
     return base.select("source", (F.col("q") + F.when(F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), "source")) <= spare, 1).otherwise(0)).cast("long").alias("quota"))
@@ -63,22 +70,25 @@ def pattern(quota: DataFrame, period: int = PERIOD) -> DataFrame:
 
 
 def whole_run(sources: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, power: float = POWER) -> DataFrame:
-    """(source, quota, period, slots): the slots of all blocks of each source, in order, by Pfair's earliest deadline first over the whole run.
+    """(source, quota, period, size, slots): the slots of all blocks of each source, in order, by Pfair's earliest deadline first over the whole run.
 
     sources: (source, n), one row each. quota of period is the target weight but for its rounding to SHARES, which comes to
     less than 1e-5 blocks in a million slots. Block b (from 0) may not start before slot floor(b * period / quota) and must
     be done by the end of slot ceil((b + 1) * period / quota), so a source differs from its target weight by less than
-    one block at any time, for any number of sources. A source without a positive weight is an error. One row holds the
-    schedule, so its size is bounded by the slots up to the last block, and its time by slots times sources.
+    one block at any time, for any number of sources. A source without a positive weight is an error. size is the rows
+    of a block: `block`, or as many more as keep the run within about max(SLOTS, STEPS / sources) slots. One row holds
+    the schedule, so its size and its time are bounded, whatever the number of rows.
     """
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(power))
     else:
         w = F.element_at(F.create_map(*[F.lit(x) for kv in ((k, float(v)) for k, v in sorted(weights.items())) for x in kv]), F.col("source"))
     w = F.when(w > 0, w).otherwise(F.raise_error(F.lit("a source has no positive target weight")).cast("double"))
-    share = sources.select("source", F.ceil(F.col("n") / block).cast("long").alias("blocks"), w.alias("w"))
-    share = share.select("source", "blocks", F.greatest(F.round(F.col("w") / F.sum("w").over(Window.partitionBy()) * F.lit(SHARES)).cast("long"), F.lit(1).cast("long")).alias("q"))  # one row per source
-    one = share.agg(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("minus"), "source", "blocks"))).alias("s"), F.sum("q").alias("p")).filter(F.size("s") > 0)
+    every = Window.partitionBy()  # one row per source
+    share = sources.select("source", "n", w.alias("w")).select("source", "n", (F.col("w") / F.sum("w").over(every)).alias("share"))
+    share = share.withColumn("size", F.greatest(F.lit(block).cast("long"), F.ceil(F.max(F.col("n") / F.col("share")).over(every) / F.greatest(F.lit(float(SLOTS)), F.lit(float(STEPS)) / F.count("*").over(every))).cast("long")))
+    share = share.select("source", "size", F.ceil(F.col("n") / F.col("size")).cast("long").alias("blocks"), F.greatest(F.round(F.col("share") * F.lit(SHARES)).cast("long"), F.lit(1).cast("long")).alias("q"))
+    one = share.agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("minus"), "source", "blocks"))).alias("s"), F.sum("q").alias("p")).filter(F.size("s") > 0)
 
     def up(x: Column, q: Column) -> Column:
         return F.call_function("div", x + q - 1, q)
@@ -107,10 +117,20 @@ def whole_run(sources: DataFrame, weights: dict[str, float] | None = None, block
         return once(part, lambda x: F.struct(x["next"].alias("next"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
     start = F.struct(F.transform("s", lambda x, i: due(i, F.lit(0).cast("long"))).alias("next"), F.array().cast("array<array<int>>").alias("out"))
-    run = one.select("s", "p", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("stretches") - 1), start, stretch, lambda acc: F.flatten(acc["out"])).alias("out"))
+    run = one.select("s", "p", "size", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("stretches") - 1), start, stretch, lambda acc: F.flatten(acc["out"])).alias("out"))
     slots = run.select(F.posexplode("out").alias("slot", "i")).groupBy("i").agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("slots"))
-    named = run.select("p", F.posexplode("s").alias("i", "x")).select("i", "p", F.col("x.source").alias("source"), (-F.col("x.minus")).alias("quota"))
-    return named.join(slots, "i").select("source", "quota", F.col("p").alias("period"), "slots")
+    named = run.select("p", "size", F.posexplode("s").alias("i", "x")).select("i", "p", "size", F.col("x.source").alias("source"), (-F.col("x.minus")).alias("quota"))
+    return named.join(slots, "i").select("source", "quota", F.col("p").alias("period"), "size", "slots")
+
+
+def _offsets(counts: DataFrame) -> DataFrame:
+    """(s, r, o): the rows of a source in hash ranges before r, from (s, r, count). Summed over the first DIGITS digits and then within them, so no task holds more than 16^DIGITS sums of a source."""
+    before = Window.partitionBy("s").orderBy("top").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("s", "top").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = counts.withColumn("top", F.substring("r", 1, DIGITS))
+    tops = cut.groupBy("s", "top").agg(F.sum("count").alias("all")).select("s", "top", (F.sum("all").over(before) - F.col("all")).alias("far"))
+    near = cut.select("s", "top", "r", (F.sum("count").over(within) - F.col("count")).alias("near"))
+    return near.join(tops, ["s", "top"]).select("s", "r", (F.col("near") + F.col("far")).alias("o"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, period: int = PERIOD, block: int = BLOCK, power: float = POWER, carry: bool = False, whole: bool = False) -> DataFrame:
@@ -123,54 +143,54 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
 
     The quotas of a period are rounded and at least 1, so over many periods a source drifts from its target weight. With
     whole, and in any case with more sources than the period has slots, the schedule is that of whole_run() instead,
-    which keeps to the target weights themselves; its slots are broadcast, one number for each block.
+    which keeps to the target weights themselves; its blocks grow with very long runs, so the slots that are broadcast,
+    one number for each block, have a bound.
 
-    Rows are ranked without bringing a source together: counts for each of 16^DIGITS hash ranges of a source are
-    summed up to offsets and rows ranked withtheir range, so a hot source spreads over all ranges. Only the
-    sources' table of quotas and the pattern of one period (of the whole run, its slots) are broadcast. spreads over all ranges. Sources are
-    taken to be at most the period in number; only their table of quotas and the pattern of one period are broadcast.
+    Rows are ranked without bringing a source together: counts for each hash range of a source are summed up to offsets and
+    rows ranked within their range, so a hot source spreads over all ranges, whose number grows with the rows. Only the
+    sources' quotas and the pattern of one period (of the whole run, its slots) are broadcast.
 
     A null source is a source of its own, shown as null; a null id is hashed as empty; rows that repeat an id follow one
-    another; an empty table gives an empty result.
+    another; an empty table gives an empty result. With carry, columns of df that have a name of SCHEDULE get the ending
+    "_given". Weights that are positive for none of the sources are an error, and in a whole run also a source without one.
     """
-    known = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("__s")
-    keyed = df.withColumn("__s", known).withColumn("__h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))).withColumn("__r", F.substring("__h", 1, DIGITS))
+    rows, inner = numbered(df)
+    at = {n: F.col(c) for n, c in zip(df.columns, inner, strict=True)}
+    known = F.coalesce(F.concat(F.lit("="), at[source_col].cast("string")), F.lit(""))
+    keyed = rows.select("*", known.alias("s"), F.md5(F.coalesce(at[id_col].cast("string"), F.lit("")).cast("binary")).alias("h"))
+    digits, total = DIGITS, df.count()
+    while total > RANGE * 16**digits:
+        digits += 1
+    keyed = keyed.withColumn("r", F.substring("h", 1, digits))
     if not carry:
-        keyed = keyed.select(id_col, source_col, "__s", "__h", "__r")
-    counts = keyed.groupBy("__s", "__r").count()
-    offsets = counts.select("__s", "__r", (F.sum("count").over(Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).alias("__o"))
-    named = {f"={k}": v for k, v in weights.items()} if weights is not None else None
-    sources = counts.groupBy(F.col("__s").alias("source")).agg(F.sum("count").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", id_col)) - 1
-    placed = keyed.join(offsets, ["__s", "__r"]).withColumn("__n", F.col("__o") + rank).withColumn("block", F.floor(F.col("__n") / block).cast("long"))
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, source_col, "block", "release", "deadline", "slot", "place")] if carry else []
-    place = (F.col("__n") % block).cast("long").alias("place")
-    if whole or df.select(source_col).distinct().limit(period + 1).count() > period:
-        run = whole_run(sources, named, block, power).select(F.col("source").alias("__s"), F.col("quota").alias("__quota"), F.col("period").alias("__p"), F.col("slots").alias("__slots"))
-        return placed.join(F.broadcast(run), "__s").select(
-            id_col,
-            F.col(source_col).alias("source"),
-            *rest,
-            "block",
-            F.expr("block * __p div __quota").alias("release"),
-            F.expr("((block + 1) * __p + __quota - 1) div __quota").alias("deadline"),
-            F.element_at("__slots", (F.col("block") + 1).cast("int")).alias("slot"),
-            place,
-        )
-    quota = quotas(sources, named, period, power)
-    slots = pattern(quota, period).join(F.broadcast(quota), "source").select(F.col("source").alias("__s"), F.col("k").alias("__k"), F.col("slot").alias("__slot"), F.col("quota").alias("__q"))
-    p = F.lit(period).cast("long")
-    # a source has at most `period` blocks in a period, so slots has at most `period` rows
-    quotas_of = quota.select(F.col("source").alias("__s"), F.col("quota").alias("__quota"))
-    timed = placed.join(F.broadcast(quotas_of), "__s").withColumn("__k", F.col("block") % F.col("__quota") + 1).join(F.broadcast(slots), ["__s", "__k"])
-    cycle = F.expr("block div __quota") * p
+        keyed = keyed.select(at[id_col], at[source_col], "s", "h", "r") if source_col != id_col else keyed.select(at[id_col], "s", "h", "r")
+    counts = keyed.groupBy("s", "r").count()
+    given = {f"={k}": v for k, v in weights.items()} if weights is not None else None
+    sources = counts.groupBy(F.col("s").alias("source")).agg(F.sum("count").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("s", "r").orderBy("h", at[id_col])) - 1
+    placed = keyed.join(_offsets(counts), ["s", "r"]).withColumn("n", F.col("o") + rank)
+    taken = {id_col, *SCHEDULE, *df.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_given"
+        taken.add(name)
+        return name
+
+    rest = [at[c].alias(free(c) if c in SCHEDULE else c) for c in df.columns if c not in (id_col, source_col)] if carry else []
+    if whole or df.select(f"`{source_col}`").distinct().limit(period + 1).count() > period:
+        run = whole_run(sources, given, block, power).select(F.col("source").alias("s"), "quota", F.col("period").alias("p"), "size", "slots")
+        timed = placed.join(F.broadcast(run), "s").withColumn("block", F.expr("n div size")).withColumn("place", F.expr("n % size"))
+        slot = F.element_at("slots", (F.col("block") + 1).cast("int"))
+    else:
+        quota = quotas(sources, given, period, power)
+        slots = pattern(quota, period).join(F.broadcast(quota), "source").select(F.col("source").alias("s"), "k", F.col("slot").alias("slot_in"))
+        # a source has at most `period` blocks in a period, so slots has at most `period` rows
+        of = quota.select(F.col("source").alias("s"), "quota", F.lit(period).cast("long").alias("p"))
+        timed = placed.withColumn("block", F.expr(f"n div {block}")).withColumn("place", F.expr(f"n % {block}")).join(F.broadcast(of), "s")
+        timed = timed.withColumn("k", F.col("block") % F.col("quota") + 1).join(F.broadcast(slots), ["s", "k"])
+        slot = F.expr("block div quota * p") + F.col("slot_in")
+    release, deadline = F.expr("block * p div quota"), F.expr("((block + 1) * p + quota - 1) div quota")
     return timed.select(
-        id_col,
-        F.col(source_col).alias("source"),
-        *rest,
-        "block",
-        F.expr(f"block * {period} div __quota").alias("release"),
-        F.expr(f"((block + 1) * {period} + __quota - 1) div __quota").alias("deadline"),
-        (cycle + F.col("__slot")).alias("slot"),
-        place,
+        at[id_col].alias(id_col), at[source_col].alias("source"), *rest, "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), F.col("place").cast("long").alias("place")
     )
