@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-#: Pieces of more bytes are left out; the space before a word is the byte 0x20.
-LONGEST = 12
-#: Words of more bytes than this are treated one by one.
+#: Words of more bytes than this are treated one by one, others many of a length at a time.
 WIDE = 40
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces and log-probabilities from a SentencePiece file. Its piece scores are minus the rank (a BPE vocabulary has no
     probabilities of its own), which Zipf's law turns into probabilities. Every byte is a piece, so each word has a segmentation."""
@@ -22,7 +27,7 @@ def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         piece = sp.id_to_piece(i).replace("▁", " ").encode().lower()
-        if len(piece) <= LONGEST and b" " not in piece[1:]:
+        if b" " not in piece[1:]:  # others span several words
             found[piece] = max(found.get(piece, -1e9), sp.get_score(i))
     for b in range(256):
         found.setdefault(bytes([b]), -float(sp.get_piece_size()))
@@ -37,13 +42,16 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray, log_stop: float):
         self.pieces, self.logp, self.log_stop = pieces, logp, log_stop
+        self.longest = max(map(len, pieces))
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in range(1, LONGEST + 1):
-            ids = np.array([i for i, p in enumerate(pieces) if len(p) == n], dtype=np.int64)
+        sizes = np.array([len(p) for p in pieces])
+        for n in range(1, self.longest + 1):
+            ids = np.flatnonzero(sizes == n)
             h = self._hash(np.frombuffer(b"".join(pieces[i] for i in ids), dtype=np.uint8).reshape(-1, n)) if len(ids) else np.array([], np.uint64)
             order = np.argsort(h)
             self.tables.append((h[order], ids[order]))
         self.by_piece: dict[bytes, int] | None = None
+        self.logs: list[float] | None = None
 
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
@@ -60,7 +68,7 @@ class Lattice:
         with np.errstate(over="ignore"):
             for a in range(n):
                 h = np.zeros(len(rows), dtype=np.uint64)
-                for b in range(a, min(n, a + LONGEST)):
+                for b in range(a, min(n, a + self.longest)):
                     h = (h + rows[:, b].astype(np.uint64) + np.uint64(1)) * _R
                     h ^= h >> np.uint64(29)
                     known, ids = self.tables[b - a]
@@ -75,7 +83,7 @@ class Lattice:
         alpha = np.full((n + 1, count), -np.inf)
         alpha[0] = 0.0
         for b in range(1, n + 1):
-            for a in range(max(0, b - LONGEST), b):
+            for a in range(max(0, b - self.longest), b):
                 if (a, b) in edges:
                     hit, ids = edges[a, b]
                     alpha[b, hit] = np.logaddexp(alpha[b, hit], alpha[a, hit] + self.logp[ids])
@@ -108,36 +116,64 @@ class Lattice:
             alpha = np.full((n + 1, len(rows), len(logs)), -np.inf)
             alpha[0] = 0.0
             for b in range(1, n + 1):
-                for a in range(max(0, b - LONGEST), b):
+                for a in range(max(0, b - self.longest), b):
                     if (a, b) in edges:
                         hit, ids = edges[a, b]
                         alpha[b, hit] = np.logaddexp(alpha[b, hit], alpha[a, hit] + logs.T[ids])
             out[which] = alpha[n]
         if wide := [i for i, w in enumerate(words) if len(w) > WIDE]:
-            for k, (logp, stop) in enumerate(zip(logs, stops, strict=True)):
-                one = Lattice(self.pieces, logp, stop)
-                for i in wide:
-                    out[i, k] = one._long(words[i])
+            for i in wide:
+                out[i] = self._long_by(words[i], logs.T)
         return out + stops
 
-    def _long(self, word: bytes) -> float:
-        """One long word; holds the last LONGEST sums only."""
+    def _ends(self, text: bytes, b: int) -> list[tuple[int, int]]:
+        """(length, number) of the pieces that end at b."""
         if self.by_piece is None:
             self.by_piece = {p: i for i, p in enumerate(self.pieces)}
+        return [(n, i) for n in range(1, min(self.longest, b) + 1) if (i := self.by_piece.get(text[b - n : b])) is not None]
+
+    def _long_by(self, word: bytes, logs: np.ndarray) -> np.ndarray:
+        """One long word under several sets of weights: piece x set."""
+        text, alpha = b" " + word, [np.zeros(logs.shape[1])]
+        for b in range(1, len(text) + 1):
+            back, ids = zip(*self._ends(text, b), strict=True)
+            alpha.append(np.logaddexp.reduce(np.array([alpha[-n] for n in back]) + logs[list(ids)], axis=0))
+            del alpha[: -self.longest]
+        return alpha[-1]
+
+    def _long(self, word: bytes) -> float:
+        """One long word; holds the last sums only."""
         text, alpha = b" " + word, [0.0]
+        logp = self._plain_logs()
         for b in range(1, len(text) + 1):
-            terms = []
-            for n in range(1, min(LONGEST, b) + 1):
-                i = self.by_piece.get(text[b - n : b])
-                if i is not None:
-                    terms.append(alpha[-n] + self.logp[i])
-            top = max(terms)
-            alpha.append(top + float(np.log(np.exp(np.array(terms) - top).sum())))
-            del alpha[:-LONGEST]
+            alpha.append(_log_sum([alpha[-n] + logp[i] for n, i in self._ends(text, b)]))
+            del alpha[: -self.longest]
         return alpha[-1]
 
+    def _plain_logs(self) -> list[float]:
+        if self.logs is None:
+            self.logs = self.logp.tolist()
+        return self.logs
+
+    def _expected_long(self, word: bytes, total: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one long word."""
+        text, alpha, logp = b" " + word, [0.0], self._plain_logs()
+        starts: list[list[tuple[int, int]]] = [[] for _ in text]
+        for b in range(1, len(text) + 1):
+            ends = self._ends(text, b)
+            alpha.append(_log_sum([alpha[b - n] + logp[i] for n, i in ends]))
+            for n, i in ends:
+                starts[b - n].append((b, i))
+        beta = [-math.inf] * len(text) + [0.0]
+        for a in range(len(text) - 1, -1, -1):
+            steps = [logp[i] + beta[b] for b, i in starts[a]]
+            if steps and (top := max(steps)) > -math.inf:
+                beta[a] = top + math.log(sum(math.exp(x - top) for x in steps))
+                for (_, i), x in zip(starts[a], steps, strict=True):
+                    total[i] += math.exp(alpha[a] + x - alpha[-1])
+
     def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece over the words' segmentations, weighted by their probabilities. Words over WIDE bytes are left out."""
+        """Expected uses of each piece over the words' segmentations, weighted by their probabilities: forward and backward recursion in log space."""
         total = np.zeros(len(self.pieces))
         for _, rows in self._by_length(words):
             n, edges = rows.shape[1], self._edges(rows)
@@ -146,7 +182,7 @@ class Lattice:
             beta[n] = 0.0
             used: list[tuple[np.ndarray, np.ndarray]] = []
             for a in range(n - 1, -1, -1):
-                for b in range(a + 1, min(n, a + LONGEST) + 1):
+                for b in range(a + 1, min(n, a + self.longest) + 1):
                     if (a, b) in edges:
                         hit, ids = edges[a, b]
                         step = self.logp[ids] + beta[b, hit]
@@ -155,6 +191,9 @@ class Lattice:
             if used:
                 ids, weights = (np.concatenate(x) for x in zip(*used, strict=True))
                 total += np.bincount(ids, weights=weights, minlength=len(self.pieces))
+        for w in words:
+            if len(w) > WIDE:
+                self._expected_long(w, total)
         return total
 
 
