@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+import math
+import pickle
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import byte_texts, id_or_max, id_or_null
+from braidlake.llm.common import byte_texts, fresh_path, id_or_max, id_or_null
 
 WINDOW = 13
-#: Words of one automaton; more benchmark than that is dealt over several, each of which passes over the texts.
-SHARD_WORDS = 400_000
+#: Words of one automaton, about; a larger benchmark is dealt over several. Bytes of texts that a task holds to take them past each of several automata.
+SHARD_WORDS, HELD_BYTES = 400_000, 64_000_000
 #: What is no word character becomes a space, A-Z lower case: words are runs of 0-9, a-z and bytes over 0x7F.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -118,18 +122,6 @@ class Automaton:
         return spans, items
 
 
-def _shards(items: list[tuple[int, list[bytes]]], most: int) -> list[list[tuple[int, list[bytes]]]]:
-    out: list[list[tuple[int, list[bytes]]]] = [[]]
-    n = 0
-    for x in items:
-        if n + len(x[1]) > most and out[-1]:
-            out.append([])
-            n = 0
-        out[-1].append(x)
-        n += len(x[1])
-    return out
-
-
 _HITS = "id long, n_words long, spans array<struct<first:int,past:int>>, items array<long>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
@@ -137,17 +129,16 @@ _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 def matched(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id, n_words, spans, items) per row: hit word spans and the items that occur. Null texts have no words, items without words never occur.
 
-    The benchmark, the stated query set, is read by the driver in shards of at most shard_words words (documented
-    bound, about 100 MB of automaton); each shard's automaton goes to the executors and the texts stream through it.
-    With one shard nothing is shuffled; with several, the texts stream through all shards in the same task, one after
-    the other, so that a document is still read once.
+    The benchmark, the stated query set, is dealt by the hash of the item into shards of about shard_words words (about
+    100 MB of automaton), each a file in the shared folder, so that none of it passes the driver and nothing is broadcast.
+    The texts stream through the shards' automata without a shuffle and are read once: with one shard it is built once
+    a task; with several a task takes HELD_BYTES of texts past one after the other, which bounds what it holds and
+    makes up for building them.
     """
-    sent = _sent(benchmark, item_col, item_text, shard_words)
+    shards = _shards(benchmark, item_col, item_text, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _scanner(sent, window)
-        for b in batches:
-            counts, spans, items = scan(b.column(1))
+        for b, counts, spans, items in _scanned(batches, shards, window, 1):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(counts, type=pa.int64()), pa.array([[{"first": x, "past": y} for x, y in s] for s in spans], type=_SPANS), pa.array(items, type=pa.list_(pa.int64()))],
                 names=["id", "n_words", "spans", "items"],
@@ -156,31 +147,64 @@ def matched(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return docs.select(id_or_max(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _HITS)
 
 
-def _sent(benchmark: DataFrame, item_col: str, item_text: str, shard_words: int) -> list[Broadcast]:
-    rows = benchmark.select(id_or_max(item_col).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).toLocalIterator()
-    return [benchmark.sparkSession.sparkContext.broadcast(s) for s in _shards([(i, words_of(t.encode())) for i, t in rows], shard_words)]
-
-
-def _scanner(sent: list[Broadcast], window: int) -> Callable[[pa.Array], tuple[list[int], list[list[tuple[int, int]]], list[list[int]]]]:
-    """Word counts, spans and items of a column of texts. A single automaton is built once; of several, one at a time is held."""
-    only = Automaton(sent[0].value, window) if len(sent) == 1 else None
+def _shards(benchmark: DataFrame, item_col: str, item_text: str, shard_words: int) -> list[str]:
+    """Writes the benchmark's items as pickled lists of (item, words), each list's words about shard_words; gives the files."""
+    spark = benchmark.sparkSession
+    folder = fresh_path(spark, "shards")
+    items = benchmark.select(id_or_max(item_col).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+    # a word and what parts it from the next are two bytes at least, six on average
+    size = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    n = max(1, math.ceil(size / 6 / shard_words))
 
-    def scan(column: pa.Array) -> tuple[list[int], list[list[tuple[int, int]]], list[list[int]]]:
-        counts: list[int] = []
-        spans: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
-        items: list[set[int]] = [set() for _ in range(len(column))]
-        for k, b in enumerate(sent):
-            a = only or Automaton(b.value, window)
-            for r, t in enumerate(byte_texts(column)):
-                w = words_of(t)
-                if not k:
-                    counts.append(len(w))
-                found, seen = a.scan(w)
-                spans[r] += found
-                items[r] |= seen
-        return counts, [_union(s) for s in spans] if len(sent) > 1 else spans, [sorted(x) for x in items]
-
-    return scan
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, list[bytes]]]] = {}
+        for b in batches:
+            for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), strict=True):
+                if w := words_of(t):
+                    held.setdefault(k, []).append((i, w))
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for k, some in held.items():
+            name = f"{k:06d}-{uuid.uuid4().hex}.pickle"
+            with fs.open_output_stream(f"{root}/{name}") as f:
+                f.write(pickle.dumps(some))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    dealt = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int").alias("k"), "i", "t").repartition(n, "k")
+    return sorted(r["path"] for r in dealt.mapInArrow(run, "path string").collect())  # one row per file
+
+
+def _loaded(path: str, window: int) -> Automaton:
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(name) as f:
+        return Automaton(pickle.loads(f.read()), window)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], shards: list[str], window: int, at: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[tuple[int, int]]], list[list[int]]]]:
+    """Each batch with the word counts, spans and items of its column `at` of texts."""
+    only = _loaded(shards[0], window) if len(shards) == 1 else None
+    most = HELD_BYTES if len(shards) > 1 else 0
+    batches = iter(batches)
+    while held := list(itertools.islice(batches, 1)):
+        size = held[0].column(at).nbytes
+        while size < most and (more := next(batches, None)) is not None:
+            held.append(more)
+            size += more.column(at).nbytes
+        counts = [[len(words_of(t)) for t in byte_texts(b.column(at))] if not only else [] for b in held]
+        spans: list[list[list[tuple[int, int]]]] = [[[] for _ in range(b.num_rows)] for b in held]
+        items: list[list[set[int]]] = [[set() for _ in range(b.num_rows)] for b in held]
+        for path in shards:
+            a = only or _loaded(path, window)
+            for k, b in enumerate(held):
+                for r, t in enumerate(byte_texts(b.column(at))):
+                    w = words_of(t)
+                    if only:
+                        counts[k].append(len(w))
+                    found, seen = a.scan(w)
+                    spans[k][r] += found
+                    items[k][r] |= seen
+        for k, b in enumerate(held):
+            yield b, counts[k], [_union(s) for s in spans[k]] if not only else spans[k], [sorted(x) for x in items[k]]
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,14 +237,16 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share
     A document of which one word in `share` or more is hit is dropped (coverage limit); from any other the hit spans,
     each at least a window or a whole short item long, are cut, with what separates them from the next word. Only the
     text changes, and n_chars where there is such a column; rows without a hit stay as they are, byte for byte.
+
+    Null and empty texts have no words and stay; ids are not looked at, so null and repeated ids make no difference, and repeated
+    rows stay or go together; texts are read as a whole however long; an empty benchmark or table drops nothing; columns may
+    have any name, and any type that Arrow has.
     """
-    sent = _sent(benchmark, item_col, item_text, shard_words)
+    shards = _shards(benchmark, item_col, item_text, shard_words)
     at, size = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _scanner(sent, window)
-        for b in batches:
-            counts, spans, _ = scan(b.column(at))
+        for b, counts, spans, _ in _scanned(batches, shards, window, at):
             if not any(spans):
                 yield b
                 continue
