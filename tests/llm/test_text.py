@@ -246,3 +246,149 @@ def test_licenses(spark, odd, empty):
             if a in s.split():
                 known[i].add(a)
     assert len(known) == len(licenses.SENTENCES)
+
+
+# ---------------------------------------------------------------- whole scores and letters
+
+
+def brute_segmentations(word, at):
+    """All ways to write word (with the space before it) as numbers of pieces."""
+    text, out = b" " + word, []
+
+    def go(k, path):
+        if k == len(text):
+            out.append(path)
+        for j in range(k + 1, len(text) + 1):
+            if text[k:j] in at:
+                go(j, [*path, at[text[k:j]]])
+
+    go(0, [])
+    return out
+
+
+def brute_model(texts, pieces, own, rounds, prior):
+    """Weights of first pieces, later pieces and stops, and counts, learned from (words, ...) of one class: plain expectation maximisation."""
+    first = [p[:1] == b" " for p in pieces]
+    at = {p: i for i, p in enumerate(pieces)}
+    counts = Counter(w for t in texts for w in t)
+    ends = len(texts)
+    types = sorted(counts)
+    ways = {w: brute_segmentations(w, at) for w in types}
+
+    def weights(e, stops):
+        head, rest = sum(x for x, f in zip(e, first, strict=True) if f), sum(x for x, f in zip(e, first, strict=True) if not f) + stops
+        return [x / (head if f else rest) for x, f in zip(e, first, strict=True)], stops / rest
+
+    p, stop = weights(own, 0.3)
+    v = len(types) + (ends > 0)
+    for _ in range(rounds):
+        e = [prior * x for x in own]
+        for w in types:
+            each = [math.prod(p[i] for i in way) for way in ways[w]]
+            for way, x in zip(ways[w], each, strict=True):
+                for i in way:
+                    e[i] += x / sum(each)
+        p, stop = weights(e, v + 0.3 * prior)
+    return p, stop, counts, ends, at
+
+
+@pytest.mark.parametrize("class_col", [None, "lang"])
+def test_lm_score_of_whole_texts(spark, class_col):
+    """Scores of whole texts against a model built plainly, all segmentations of every word one by one."""
+    from braidlake.llm.lattice import read_vocabulary
+
+    some = [("ab ab cd", "x"), ("cd AB\tab", "x"), ("ef", "y"), ("ab zz", "y"), ("", "x"), (None, "y"), ("gh ef ef ab", "y"), ("ab cd new", "x"), ("qq ab ab qq", None), ("ef gh", "x")]
+    rows = [(i, t, c) for i, (t, c) in enumerate(some)]
+    pieces, logp = read_vocabulary(lm_score.default_vocabulary())
+    own = np.exp(logp) / np.exp(logp).sum()
+    train = [(words(t), c) for i, t, c in rows if remainder(i) != 1]
+    common = sorted({c for _, c in train if c}, key=lambda c: (-sum(x == c for _, x in train), c))[:4] if class_col else []
+    names = [*common, None] if class_col else [None]
+    models = []
+    for k, name in enumerate(names):
+        mine = [[w.encode() for w in ws] for ws, c in train if (c == name if name else c not in common)] if class_col else [[w.encode() for w in ws] for ws, _ in train]
+        models.append(brute_model(mine, pieces, own.tolist(), lm_score.ROUNDS, lm_score.PRIOR))
+    plain_p, plain_stop = brute_model([], pieces, own.tolist(), 0, 0)[:2]
+    ends = [m[3] for m in models]
+    weight = [(e + 0.5) / (sum(ends) + 0.5 * len(models)) for e in ends]
+
+    def lattice(word, p, stop, at):
+        return stop * sum(math.prod(p[i] for i in way) for way in brute_segmentations(word, at))
+
+    def by_class(word):
+        out = []
+        for p, stop, counts, _, at in models:
+            n, v = sum(counts.values()), len(counts)
+            spare = lm_score.DISCOUNT * v / n if n else 1.0
+            out.append(spare * lattice(word, p, stop, at) + (max(counts[word] - lm_score.DISCOUNT, 0) / n if n else 0))
+        if len(models) == 1:
+            return out
+        every = sum(w * q for w, q in zip(weight, out, strict=True))
+        return [(1 - lm_score.SHARED) * q + lm_score.SHARED * every for q in out]
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in lm_score.lm_scores(df, class_col=class_col).collect():
+        ws = [w.encode() for w in words(some[r["doc_id"]][0])]
+        total, seen = 0.0, Counter()
+        q = {w: by_class(w) for w in ws}
+        for k, m in enumerate(models):
+            tokens = sum(m[2].values()) + m[3]
+            end = (m[3] + 0.5) / (tokens + 1)
+            x, seen = weight[k] * end * (1 - end) ** len(ws), Counter()
+            for n, w in enumerate(ws):
+                x *= (seen[w] + lm_score.STRENGTH * q[w][k]) / (n + lm_score.STRENGTH)
+                seen[w] += 1
+            total += x
+        assert math.isclose(r["score"], math.log10(total), rel_tol=1e-5), (r, math.log10(total))
+        every = sum(len(t) + 1 for t, _ in train)
+        end = (len(train) + 0.5) / (every + 1)
+        alone = math.log10(end) + sum(math.log10((1 - end) * lattice(w, plain_p, plain_stop, models[0][4])) for w in ws)
+        assert math.isclose(r["lattice_score"], alone, rel_tol=1e-5)
+
+
+def test_lm_long_words_and_pieces(small):
+    """Long words count in the expected uses like short ones, and no piece of the vocabulary is left out for its length."""
+    from braidlake.llm.lattice import WIDE, read_vocabulary
+
+    word = b"ab" * WIDE
+    uses = small.expected([word])
+    assert math.isclose(sum(u * len(p) for u, p in zip(uses, small.pieces, strict=True)), len(word) + 1, rel_tol=1e-9)
+    short = b"abbab" * 7
+    one = np.zeros(len(small.pieces))
+    small._expected_long(short, one)
+    assert np.allclose(one, small.expected([short]))
+    pieces, _ = read_vocabulary(lm_score.default_vocabulary())
+    assert b" international" in pieces and max(map(len, pieces)) > 12
+
+
+def test_lm_blocks_of_any_number(spark, prose, monkeypatch):
+    """More blocks and parts than shuffle partitions, and vocabularies sent on in pieces: the same scores."""
+    want = sorted((r["doc_id"], round(r["score"], 4), r["base_score"]) for r in lm_score.lm_scores(prose).collect())
+    for name, value in (("BLOCK_BYTES", 30_000), ("PART_BYTES", 50_000), ("HELD", 500), ("TOGETHER", 200)):
+        monkeypatch.setattr(lm_score, name, value)
+    got = sorted((r["doc_id"], round(r["score"], 4), r["base_score"]) for r in lm_score.lm_scores(prose).collect())
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert np.allclose([x[1:] for x in got], [x[1:] for x in want], rtol=1e-5)
+
+
+def test_letters_are_category_l(spark):
+    texts = ["²", "½ Ⅷ ①", "a²", "ª", "中", "12", "_", "́", None]
+    df = spark.createDataFrame([(k, t, "xx" if k % 2 else "yy") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_id(df).collect()}
+    assert [got[k] == "und" for k in range(len(texts))] == [True, True, False, False, False, True, True, True, True]
+
+
+def test_samples_are_bounded(spark, prose):
+    """A labelled id that many rows share gives the classifiers one row."""
+    ids = [i for i in range(200) if remainder(i) != 0][:4]
+    df = spark.createDataFrame([(ids[k % 4], f"text number {k} of some words") for k in range(400)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    assert quality.quality(df, labels).count() == 400
+    seen = []
+    original = quality.fitted
+    quality.fitted = lambda x, y, c: seen.append(len(x)) or original(x, y, c)
+    try:
+        quality.learned(df, labels)
+    finally:
+        quality.fitted = original
+    assert seen == [4]
