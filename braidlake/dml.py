@@ -74,19 +74,37 @@ def check_others(new: DataFrame, table: dict, rows: Lookup, replaces: bool = Fal
             raise E.SqlError(E.FOREIGN_KEY, f"no parent in {f['table']} for ({', '.join(f['columns'])})")
 
 
-def added(catalog: Catalog, table: dict, rows: DataFrame, deleted: bool) -> dict:
-    """The table with a further change set."""
-    return table | {"changes": [*table["changes"], catalog.write(rows.withColumn(DELETED, F.lit(deleted)), table["pk"])], "stats": table["stats"]}
+def written(catalog: Catalog, table: dict, rows: DataFrame, deleted: bool, check: Callable[[DataFrame], None] | None = None) -> tuple[dict, int]:
+    """The table with rows as a further change set, and their number. The change set is written once, checked as it stands in its files, and deleted again if it fails or is empty."""
+    path = catalog.write(rows.withColumn(DELETED, F.lit(deleted)), table["pk"])
+    new = catalog.read(path, table)
+    try:
+        n = new.count()
+        if n and check:
+            check(new)
+    except Exception:
+        catalog.discard(path)
+        raise
+    if not n:
+        catalog.discard(path)
+        return table, 0
+    return table | {"changes": [*table["changes"], path]}, n
 
 
 def insert(catalog: Catalog, table: dict, df: DataFrame, names: Sequence[str] | None, rows: Lookup) -> tuple[dict, int]:
-    new = cut(coerced(df, table, names))
-    n = new.count()
-    if not n:
-        return table, 0
-    check_rows(new, table)
-    check_others(new, table, rows)
-    return added(catalog, table, new, False), n
+    def check(new: DataFrame) -> None:
+        check_rows(new, table)
+        check_others(new, table, rows)
+
+    return written(catalog, table, coerced(df, table, names), False, check)
+
+
+def _replacing(catalog: Catalog, table: dict, out: DataFrame, rows: Lookup) -> tuple[dict, int]:
+    def check(new: DataFrame) -> None:
+        check_rows(new, table)
+        check_others(new, table, rows, replaces=True)
+
+    return written(catalog, table, out, False, check)
 
 
 def upsert(catalog: Catalog, table: dict, df: DataFrame, names: Sequence[str] | None, rows: Lookup, assign: dict[str, str] | None, where: str | None = None) -> tuple[dict, int]:
@@ -100,7 +118,7 @@ def upsert(catalog: Catalog, table: dict, df: DataFrame, names: Sequence[str] |
     old = rows(table["name"])
     fresh = new.alias("n").join(old.alias("o"), _on(table["pk"]), "left_anti")
     if assign is None:
-        out = cut(fresh)
+        out = fresh
     else:
         met = old.alias(table["name"]).join(new.alias("excluded"), _on(table["pk"], table["name"], "excluded"))
         if where:
@@ -110,13 +128,8 @@ def upsert(catalog: Catalog, table: dict, df: DataFrame, names: Sequence[str] |
             if k in {p.lower() for p in table["pk"]}:
                 raise E.SqlError(E.UNSUPPORTED, "the primary key can't be updated")
         t = table["name"]
-        out = cut(fresh.unionByName(met.select(*[(F.expr(_owned(lower[c["name"].lower()], table)) if c["name"].lower() in lower else F.col(f"{t}.`{c['name']}`")).cast(c["type"]).alias(c["name"]) for c in columns(table)])))
-    n = out.count()
-    if not n:
-        return table, 0
-    check_rows(out, table)
-    check_others(out, table, rows, replaces=True)
-    return added(catalog, table, out, False), n
+        out = fresh.unionByName(met.select(*[(F.expr(_owned(lower[c["name"].lower()], table)) if c["name"].lower() in lower else F.col(f"{t}.`{c['name']}`")).cast(c["type"]).alias(c["name"]) for c in columns(table)]))
+    return _replacing(catalog, table, out, rows)
 
 
 def _owned(text: str, table: dict) -> str:
@@ -129,26 +142,18 @@ def _owned(text: str, table: dict) -> str:
     return "".join(p if p.startswith("'") else fix(p) for p in parts)
 
 
-def update(catalog: Catalog, table: dict, assign: dict[str, str], where: str | None, rows: Lookup) -> tuple[dict, int]:
+def update(catalog: Catalog, table: dict, assign: dict[str, str], where: str | None, rows: Lookup, run: Callable[[str], DataFrame]) -> tuple[dict, int]:
+    """run: how a query text becomes rows, so that expressions mean in UPDATE what they mean in SELECT."""
     lower = {k.lower(): v for k, v in assign.items()}
     known = {c["name"].lower() for c in columns(table)}
     if bad := set(lower) - known:
         raise E.SqlError(E.NO_COLUMN, f"no column {min(bad)}")
     if set(lower) & {k.lower() for k in table["pk"]}:
         raise E.SqlError(E.UNSUPPORTED, "the primary key can't be updated")
-    hit = rows(table["name"])
-    hit = hit.filter(where) if where else hit
-    out = cut(hit.select(*[(F.expr(lower[c["name"].lower()]) if c["name"].lower() in lower else F.col(f"`{c['name']}`")).cast(c["type"]).alias(c["name"]) for c in columns(table)]))
-    n = out.count()
-    if not n:
-        return table, 0
-    check_rows(out, table)
-    check_others(out, table, rows, replaces=True)
-    return added(catalog, table, out, False), n
+    cols = [f"({lower[c['name'].lower()]}) as `{c['name']}`" if c["name"].lower() in lower else f"`{c['name']}`" for c in columns(table)]
+    out = run(f"select {', '.join(cols)} from `{table['name']}`" + (f" where {where}" if where else ""))
+    return _replacing(catalog, table, coerced(out, table), rows)
 
 
-def delete(catalog: Catalog, table: dict, where: str | None, rows: Lookup) -> tuple[dict, int]:
-    hit = rows(table["name"])
-    out = cut(hit.filter(where) if where else hit)
-    n = out.count()
-    return (added(catalog, table, out, True), n) if n else (table, 0)
+def delete(catalog: Catalog, table: dict, where: str | None, run: Callable[[str], DataFrame]) -> tuple[dict, int]:
+    return written(catalog, table, coerced(run(f"select * from `{table['name']}`" + (f" where {where}" if where else "")), table), True)

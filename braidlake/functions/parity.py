@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for trimming.
-_SPACE = r"[\s \u0085  -     　]+"
+SPACE = r"[\s \u0085  -     　]+"
 #: A character that patterns don't use, as LIKE has no default escape here.
 NO_ESCAPE = "\x00"
 
@@ -53,15 +53,15 @@ def strict_concat(*cs: Column) -> Column:
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{_SPACE}|{_SPACE}$", "")
+    return F.regexp_replace(s, f"^{SPACE}|{SPACE}$", "")
 
 
 def ltrim(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{_SPACE}", "")
+    return F.regexp_replace(s, f"^{SPACE}", "")
 
 
 def rtrim(s: Column) -> Column:
-    return F.regexp_replace(s, f"{_SPACE}$", "")
+    return F.regexp_replace(s, f"{SPACE}$", "")
 
 
 def mod(x: Column, y: Column) -> Column:

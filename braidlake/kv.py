@@ -33,7 +33,7 @@ class KV:
         return self.session.put(TABLE, pairs, None, "update", {"v": "excluded.v"})
 
     def delete(self, key: bytes) -> bool:
-        return bool(self.session._write(lambda t: dml.delete(self.session.catalog, t, f"k = X'{key.hex()}'", self.session.table), TABLE))
+        return bool(self.session._write(lambda t: dml.delete(self.session.catalog, t, f"k = X'{key.hex()}'", self.session._compiled), TABLE))
 
     def scan(self, start: bytes = b"", end: bytes | None = None) -> DataFrame:
         """Pairs with start <= k < end in byte order."""

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 COMMON, BUCKETS = 32, 64
 
 
 def analyze(df: DataFrame) -> dict:
-    """All columns in one pass for counts and histograms; the most common values by one grouped count per column, of which only the top ones reach the driver."""
+    """Two passes: one for the counts and histograms of all columns, one for their most common values, which are counted together by column and value; only the top ones reach the driver."""
     numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "double")]
     parts = [F.count("*").alias("n")]
     for k, c in enumerate(df.columns):
@@ -18,7 +19,10 @@ def analyze(df: DataFrame) -> dict:
             parts.append(F.percentile_approx(f"`{c}`", [i / BUCKETS for i in range(BUCKETS + 1)]).alias(f"h{k}"))
     r = df.agg(*parts).first()
     out = {"rows": r["n"], "columns": {}}
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for k, c in enumerate(df.columns)])).alias("x")).select("x.k", "x.v")
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("count"), "v"))  # Spark keeps the first COMMON of each task before it shuffles them
+    top = pairs.filter("v is not null").groupBy("k", "v").count().withColumn("place", place).filter(F.col("place") <= COMMON).orderBy("k", "place").collect()
     for k, c in enumerate(df.columns):
-        top = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(COMMON).collect()
-        out["columns"][c] = {"nulls": r["n"] - r[f"k{k}"], "distinct": r[f"d{k}"], "min": r[f"a{k}"], "max": r[f"z{k}"], "common": [[x["v"], x["count"]] for x in top], "histogram": list(r[f"h{k}"] or []) if c in numeric else []}
+        common = [[x["v"], x["count"]] for x in top if x["k"] == k]
+        out["columns"][c] = {"nulls": r["n"] - r[f"k{k}"], "distinct": r[f"d{k}"], "min": r[f"a{k}"], "max": r[f"z{k}"], "common": common, "histogram": list(r[f"h{k}"] or []) if c in numeric else []}
     return out
