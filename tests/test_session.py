@@ -244,3 +244,65 @@ def test_random_merge(s, seed):
         s.sql("merge branch dev into main")
         want = {k: v for k in range(6) if (v := right.get(k) if left.get(k) == base.get(k) else left.get(k)) is not None}
     assert rows(s.sql("select * from m")) == sorted(want.items())
+
+
+def test_half_written_head(s):
+    """A head that another program has left empty or cut off wedges nothing."""
+    s.sql("create table h (id bigint primary key)")
+    s.sql("insert into h values (1)")
+    n = s.catalog.head("main")[0]
+    folder = s.catalog.root.removeprefix("file://") + "/refs/main"
+    for k, text in ((n + 1, ""), (n + 2, '{"commit": ')):
+        with open(f"{folder}/{k:012d}.json", "w") as f:
+            f.write(text)
+    assert rows(s.sql("select * from h")) == [(1,)]
+    s.sql("insert into h values (2)")
+    assert rows(s.sql("select * from h")) == [(1,), (2,)] and s.catalog.head("main")[0] == n + 3
+
+
+def test_files_are_whole_or_absent(s):
+    f = s.catalog.files
+    assert f.create("x/a.json", {"n": 1}) and not f.create("x/a.json", {"n": 2}) and f.read("x/a.json") == {"n": 1}
+    f.write("x/a.json", {"n": 3})
+    f.write("x/a.json", {"n": 4})
+    assert f.read("x/a.json") == {"n": 4} and f.names("x") == ["a.json"]
+
+
+def test_views_of_two_sessions(spark, s):
+    other = Session(spark, s.catalog.root)
+    s.sql("create view v1 as select 1 as x")
+    other.sql("create view v2 as select 2 as x")
+    assert set(s.catalog.views()) == {"v1", "v2"}
+
+
+def test_timeout_is_hit(s):
+    s.sql("set statement_timeout = 300")
+    fails("57014", lambda: s.sql("select count(*) from range(100000) a join range(100000) b on a.id * b.id % 7 = 3"))
+    s.sql("set statement_timeout = 0")
+    assert s.sql("select 1 as x").collect() == [(1,)]
+
+
+def test_failed_write_leaves_nothing(s):
+    s.sql("create table c (id bigint primary key, v int check (v > 0))")
+    s.sql("insert into c values (1, 1)")
+    before = s.catalog.files.names("data")
+    fails("23514", lambda: s.sql("insert into c values (2, 0)"))
+    fails("23514", lambda: s.sql("update c set v = 0"))
+    assert s.catalog.files.names("data") == before
+
+
+def test_parameters_in_values(s):
+    s.sql("create table pv (id bigint primary key, a text, b text)")
+    s.sql("insert into pv values (?, ?, ?), (?, ?, ?)", [1, "a", "b", 2, "c", "d"])
+    assert rows(s.sql("select * from pv")) == [(1, "a", "b"), (2, "c", "d")]
+
+
+def test_texts_that_look_like_syntax(s):
+    s.sql("create table q (id bigint primary key, w text)")
+    s.sql("insert into q values (1, 'q for system_time as of ''x'''), (2, '7/2 order by rowid'), (3, 'floor(1) || 1.5')")
+    got = dict(rows(s.sql("select id, w from q -- order by 7/2\n order by id")))
+    assert got == {1: "q for system_time as of 'x'", 2: "7/2 order by rowid", 3: "floor(1) || 1.5"}
+    assert rows(s.sql("select 'q for system_time as of ''1''' as w, (id + 1) / 2 as h from q where w like '7/2%'")) == [("q for system_time as of '1'", 1)]
+    s.sql("create view halves as select id / 2 as h, w from q")
+    assert rows(s.sql("select h / 1 as h from halves where w <> '/'")) == [(0,), (1,), (1,)]
+    assert s.sql("select count(*) as n, avg(id) / 2 as m, -7 / 2 as k, cast(7 as double) / 2 as d from q").first() == (3, 1.0, -3, 3.5)
