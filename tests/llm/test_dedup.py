@@ -262,3 +262,111 @@ def test_dense_buckets_lose_no_link(spark):
     roots = {r["node"]: r["root"] for r in components(simhash.linked(df, len(every), 59, 320, ([list(range(12))], [0]), exact=False, dense=40)).collect()}
     fps = {int(i): int.from_bytes(bytes(r), "big") for i, r in zip(ids, packed, strict=True)}
     assert {i: roots.get(i, i) for i in fps} == brute_components(fps, 59)
+
+
+# ---------------------------------------------------------------- shared ids, any columns, hubs, recall
+
+
+def test_shared_ids_join_nothing(spark):
+    """An id that several texts share, or a null id, links none of them."""
+    base = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"other{k}" for k in range(80))
+    third = " ".join(f"third{k}" for k in range(80))
+    rows = [(3, base), (5, base + " x"), (5, other), (None, base + " y"), (None, third), (None, third + " z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [brute_fingerprint(t, 3) for _, t in rows]
+    assert max((fps[0] ^ fps[1]).bit_count(), (fps[0] ^ fps[3]).bit_count(), (fps[4] ^ fps[5]).bit_count()) <= 12 < min((fps[0] ^ fps[2]).bit_count(), (fps[0] ^ fps[4]).bit_count(), (fps[2] ^ fps[4]).bit_count())
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(df, distance=12).collect()}
+    assert [got[i, f"{f:016x}"] for (i, _), f in zip(rows, fps, strict=True)] == [3, 3, 5, 3, None, None]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_representatives(df).collect())
+    assert [(i, t) for i, t in kept if i > 0] == [(3, base), (5, other)]
+    assert [t for i, t in kept if i < 0] in ([third], [third + " z"])
+
+
+def test_any_columns(spark):
+    """Columns named like inner ones, and maps, go through unharmed; rows that share id and text count once."""
+    rows = [(1, "some text", {"a": 1}, 5, 6, "x"), (1, "some text", {"b": 2}, 5, 6, "x"), (2, "some  text ", {}, 7, 8, None), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c0 map<string,int>, __id long, id long, th string")
+    for f, want in ((exact_dedup.keep_one, {2, 3}), (simhash.keep_representatives, {1, 3})):
+        got = f(df)
+        assert got.columns == df.columns and [t for _, t in got.dtypes] == [t for _, t in df.dtypes]
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+        assert all((r["__id"], r["id"]) == {1: (5, 6), 2: (7, 8), 3: (None, None)}[r["doc_id"]] for r in got.collect())
+
+
+def test_keep_one_over_ranges(spark):
+    """A hot text over many ranges leaves its longest row, ties the smallest id; null ids last."""
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot text' when id = 1501 then 'hot  text' else concat('text ', id div 6) end as text", "case when id < 30 then null else id end as doc_id", "id as n")
+    want = {}
+    for r in df.collect():
+        k = re.sub(r"\s", "", r["text"])
+        rank = (-len(r["text"]), NO_ID if r["doc_id"] is None else r["doc_id"])
+        want[k] = min(want.get(k, rank), rank)
+    got = exact_dedup.keep_one(df).collect()
+    assert sorted((re.sub(r"\s", "", r["text"]), -len(r["text"]), NO_ID if r["doc_id"] is None else r["doc_id"]) for r in got) == sorted((k, *v) for k, v in want.items())
+
+
+def test_ids_must_be_numbers(spark):
+    assert exact_dedup.exact_dedup(spark.createDataFrame([("7", "a")], "doc_id string, text string")).first()["doc_id"] == 7
+    with pytest.raises(Exception, match="no integer identifier in doc_id: seven"):
+        exact_dedup.exact_dedup(spark.createDataFrame([("seven", "a")], "doc_id string, text string")).collect()
+
+
+@pytest.mark.parametrize("hub", [0, 5])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    """Nodes of very many children or parents are broadcast; the components are the same."""
+    from braidlake.llm import common
+
+    monkeypatch.setattr(common, "HUB", hub)
+    rng = np.random.default_rng(4)
+    edges = [(1, k) for k in range(2, 60)] + [(5000, k) for k in range(1000, 1060)] + [(1000, 1)] + [tuple(int(x) for x in p) for p in rng.integers(2000, 2300, (150, 2))]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
+def test_recall_with_dense_families(spark):
+    """Pairs of a Jaccard similarity of 0.8 or more of each id divisible by 50 against all rows, in a table where boilerplate fills every bucket."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(600):  # twelve families, and a few words that all begin with
+        header = [f"all{x}" for x in range(60)] + [f"h{k % 12}x{x}" for x in range(340)]
+        own = [f"w{x}" for x in rng.integers(0, 10**9, int(rng.integers(20, 75)))]
+        rows.append((k, " ".join(header + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(df, shingle=5, distance=0.185, plan="banded", repeats=False, dense=30).collect()}
+    pairs = [(i, j) for i in range(0, 600, 50) for j in range(600) if i != j and jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    assert len(pairs) > 50
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    sizes = defaultdict(set)
+    for i, c in got.items():
+        sizes[c].add(i)
+    # every component hangs together by links of 0.8
+    for members in sizes.values():
+        seen, todo = set(), [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [y for y in members - seen if jaccard(rows[x][1], rows[y][1]) >= 0.8]
+        assert seen == members
+
+
+def test_thresholds_of_skewed_partitions(spark):
+    """A partition with one value for most fingerprints is left out, and another is probed instead."""
+    rng = np.random.default_rng(14)
+    bits = rng.integers(0, 2, (3000, 64), dtype=np.uint8)
+    bits[:, :12] = 0
+    df = spark.createDataFrame([(i, bytes(r)) for i, r in enumerate(np.packbits(bits, axis=1))], "id long, fp binary")
+    parts = [list(range(a, min(a + 12, 64))) for a in range(0, 64, 12)]
+    limits = simhash.thresholds(df, 3000, parts, 64, 0, 1)
+    assert limits[0] == -1 and sum(limits) == 0 and max(limits) == 1

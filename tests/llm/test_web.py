@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import zlib
 from base64 import b32encode
 from collections import defaultdict
@@ -193,3 +194,115 @@ def test_pipeline(spark, tmp_path):
     assert ids[4] == {r["doc_id"] for r in decontam.decontamination(steps[3], spark.read.parquet(f"{d}/benchmark.parquet")).filter("not contaminated").collect()}
     assert ids[5] == ids[4]
     assert {r["doc_id"] for r in p.run(spark, d).collect()} == ids[5]
+
+
+def test_cut_off_archives(tmp_path):
+    """A file that lacks any part of its last member's trailer, or all bytes, is an error."""
+    data = gzip.compress(b"".join(warc.record(k, b"http://x/%d" % k, b"payload", "D", None) for k in range(5)))
+    for n in (1, 4, 8, 9, len(data) // 2, len(data)):
+        source = tmp_path / f"cut{n}.warc.gz"
+        source.write_bytes(data[:-n])
+        with pytest.raises((ValueError, zlib.error)):
+            warc.normalise_file(f"file://{source}", f"file://{tmp_path}/out/cut{n}.warc.gz")
+
+
+def test_archives_of_one_attempt(spark, pages, tmp_path):
+    """What another attempt of a task has left is removed, and every archive has its own index."""
+    folder = f"file://{tmp_path}/w"
+    (tmp_path / "w" / "archives").mkdir(parents=True)
+    (tmp_path / "w" / "archives" / "part-000000-lost.warc.gz").write_bytes(b"half")
+    assert warc.archived(pages, folder=folder).count() == pages.count()
+    left = sorted(x.name for x in (tmp_path / "w" / "archives").iterdir() if not x.name.endswith(".crc"))
+    assert all(f"{x}.cdx" in left for x in left if x.endswith(".gz")) and "part-000000-lost.warc.gz" not in left
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    df = spark.range(50).selectExpr("id as doc_id", "concat('s', id % 3) as source", "id * 2 as slot", "map('k', id) as block", "id as s", "id as h", "id as n")
+    for whole in (False, True):
+        out = mixing.mixed(df, block=4, carry=True, whole=whole)
+        assert set(out.columns) == {*mixing.SCHEDULE, "doc_id", "slot_given", "block_given", "s", "h", "n"}
+        assert all((r["slot_given"], r["block_given"], r["n"]) == (2 * r["doc_id"], {"k": r["doc_id"]}, r["doc_id"]) for r in out.collect())
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_mixed_without_weights(spark, whole):
+    df = spark.range(10).selectExpr("id as doc_id", "'a' as source")
+    with pytest.raises(Exception, match="no (source has a )?positive target weight"):
+        mixing.mixed(df, weights={"elsewhere": 1.0}, whole=whole).collect()
+
+
+def test_mixed_ranges_of_any_number(spark, monkeypatch):
+    """More hash ranges rank the rows just the same."""
+    df = spark.range(900).selectExpr("id as doc_id", "concat('s', id % 2) as source")
+    want = sorted(map(tuple, mixing.mixed(df, block=7).collect()))
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    monkeypatch.setattr(mixing, "RANGE", 2)
+    assert sorted(map(tuple, mixing.mixed(df, block=7).collect())) == want
+
+
+def test_whole_run_has_a_bound(spark, monkeypatch):
+    """A run of more slots than the bound gets larger blocks and still keeps to the weights."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    monkeypatch.setattr(mixing, "STEPS", 64)
+    sources = spark.createDataFrame([("a", 100_000), ("b", 30_000), ("c", 500)], "source string, n long")
+    rows = {r["source"]: r for r in mixing.whole_run(sources, block=10).collect()}
+    assert {r["size"] for r in rows.values()} != {10} and sum(len(r["slots"]) for r in rows.values()) <= mixing.STRETCH
+    for n, s in ((100_000, "a"), (30_000, "b"), (500, "c")):
+        share = n**0.5 / (100_000**0.5 + 30_000**0.5 + 500**0.5)
+        assert len(rows[s]["slots"]) * rows[s]["size"] >= n
+        assert all(abs(b - share * t) < 1 + 1e-4 for b, t in enumerate(rows[s]["slots"]))
+
+
+def test_pipeline_against_plain_versions(spark):
+    """run() against each stage done plainly: neighbours by all pairs, equal texts by a dictionary, benchmark windows one by one. The classifier's decisions are taken from a plain forward pass."""
+    import re
+
+    import corpus_pipeline as p
+    from test_dedup import jaccard
+    from test_text import benchmark_words, brute_hits
+
+    from braidlake.llm import quality
+
+    d = "/root/testdata/sf0.001"
+    read = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    docs = [(r["doc_id"], r["text"] or "") for r in read("documents").collect()]
+    net = quality.learned(read("documents"), read("labels"))
+    index, buckets = quality.index_vectors(), quality._Buckets()
+    good = []
+    for i, t in docs:
+        z = (quality.pooled(t.encode(), index, net.context, buckets).astype(float) - net.mean) / net.scale
+        hidden = [math.tanh(sum(z[a] * net.w1[a, k] for a in range(len(z))) + net.b1[k]) for k in range(net.w1.shape[1])]
+        logit = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+        if 1 / (1 + math.exp(-max(-30, min(30, logit / net.temperature)))) >= 0.3:
+            good.append((i, t))
+    groups = defaultdict(list)
+    for i, t in good:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i, t))
+    one = [(i, t) for _, i, t in (min(g) for g in groups.values())]
+    root = {i: i for i, _ in one}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, x) in enumerate(one):
+        for j, y in one[a + 1 :]:
+            if len(x) < 2 * len(y) + 50 and len(y) < 2 * len(x) + 50 and jaccard(x, y) >= 0.8:
+                u, v = find(i), find(j)
+                root[max(u, v)] = min(u, v)
+    near = [(i, t) for i, t in one if find(i) == i]
+    items = [(r["item_id"], r["text"]) for r in read("benchmark").collect()]
+    grams = {tuple(w[k : k + 13]) for _, t in items for w in [benchmark_words(t)] for k in range(max(1, len(w) - 12)) if w}
+    want = set()
+    for i, t in near:
+        w = benchmark_words(t)
+        if not any(tuple(w[k : k + n]) in grams for n in {len(g) for g in grams} for k in range(len(w))):
+            want.add(i)
+            continue
+        n, hit, _ = brute_hits(t, items)
+        if 20 * hit < n:
+            want.add(i)
+    got = p.run(spark, d).collect()
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+    assert len(docs) > len(good) > len(one) > len(near)
