@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidlake import dialect
 from braidlake import errors as E
 from braidlake.catalog import Catalog, columns
 from braidlake.operators.overlay import DELETED
@@ -39,13 +42,25 @@ def _any(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+def _queried(text: Callable[..., str], table: dict, *rows: DataFrame) -> DataFrame:
+    """The query text(view, ...) over one view for each of rows, so that its expressions mean what they mean in SELECT. The views are global, as rows may come from other sessions."""
+    spark, views = rows[0].sparkSession, [f"__dml_{uuid.uuid4().hex}" for _ in rows]
+    for view, df in zip(views, rows, strict=True):
+        df.createOrReplaceGlobalTempView(view)
+    try:
+        return spark.sql(dialect.rewritten(spark, text(*[f"global_temp.{v}" for v in views]), None, lambda parts: dialect.key_of([table], parts)))
+    finally:
+        for view in views:
+            spark.catalog.dropGlobalTempView(view)
+
+
 def check_rows(new: DataFrame, table: dict) -> None:
     """NOT NULL, CHECK and duplicate keys within the new rows."""
     for c in columns(table):
         if not c["nullable"] and _any(new.filter(F.col(f"`{c['name']}`").isNull())):
             raise E.SqlError(E.NOT_NULL, f"null in column {c['name']}")
     for text in table["checks"]:
-        if _any(new.filter(~F.coalesce(F.expr(text), F.lit(True)))):
+        if _any(_queried(lambda view, text=text: f"select 1 from {view} where not coalesce(({text}), true)", table, new)):
             raise E.SqlError(E.CHECK, f"check ({text}) fails")
     for keys in [table["pk"], *table["unique"]]:
         present = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
@@ -76,7 +91,7 @@ def check_others(new: DataFrame, table: dict, rows: Lookup, replaces: bool = Fal
 
 def written(catalog: Catalog, table: dict, rows: DataFrame, deleted: bool, check: Callable[[DataFrame], None] | None = None) -> tuple[dict, int]:
     """The table with rows as a further change set, and their number. The change set is written once, checked as it stands in its files, and deleted again if it fails or is empty."""
-    path = catalog.write(rows.withColumn(DELETED, F.lit(deleted)), table["pk"])
+    path = catalog.write(rows.withColumn(DELETED, F.lit(deleted)), table["name"], table["pk"])
     new = catalog.read(path, table)
     try:
         n = new.count()
@@ -120,22 +135,20 @@ def upsert(catalog: Catalog, table: dict, df: DataFrame, names: Sequence[str] |
     if assign is None:
         out = fresh
     else:
-        met = old.alias(table["name"]).join(new.alias("excluded"), _on(table["pk"], table["name"], "excluded"))
-        if where:
-            met = met.filter(where)
-        lower = {k.lower(): v for k, v in assign.items()}
-        for k in lower:
-            if k in {p.lower() for p in table["pk"]}:
-                raise E.SqlError(E.UNSUPPORTED, "the primary key can't be updated")
+        lower = {k.lower(): _owned(v, table) for k, v in assign.items()}
+        if set(lower) & {p.lower() for p in table["pk"]}:
+            raise E.SqlError(E.UNSUPPORTED, "the primary key can't be updated")
         t = table["name"]
-        out = fresh.unionByName(met.select(*[(F.expr(_owned(lower[c["name"].lower()], table)) if c["name"].lower() in lower else F.col(f"{t}.`{c['name']}`")).cast(c["type"]).alias(c["name"]) for c in columns(table)]))
+        cols = [f"({lower[c['name'].lower()]}) as `{c['name']}`" if c["name"].lower() in lower else f"`{t}`.`{c['name']}`" for c in columns(table)]
+        on = " and ".join(f"`{t}`.`{k}` = excluded.`{k}`" for k in table["pk"])
+        where = f" where {_owned(where, table)}" if where else ""
+        met = _queried(lambda a, b: f"select {', '.join(cols)} from {a} as `{t}` join {b} as excluded on {on}{where}", table, old, new)
+        out = fresh.unionByName(coerced(met, table))
     return _replacing(catalog, table, out, rows)
 
 
 def _owned(text: str, table: dict) -> str:
     """Bare column names in an assignment mean the old row."""
-    import re
-
     names = "|".join(sorted((re.escape(c["name"]) for c in columns(table)), key=len, reverse=True))
     parts = re.split(r"('(?:[^']|'')*')", text)
     fix = lambda s: re.sub(rf"(?<![\w.`])({names})(?![\w(`.])", lambda m: f"{table['name']}.`{m[1]}`", s, flags=re.I)

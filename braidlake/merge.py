@@ -50,7 +50,7 @@ def _by_changes(catalog: Catalog, tb: dict, tx: dict, ty: dict, name: str) -> di
         _agreed(rows, pk, name)
         kept = rows.filter("__state = 'keep'").drop("__state").withColumn(DELETED, F.lit(False))
         gone = both.join(kept.select(*pk), pk, "left_anti").select(*[(F.col(f"`{c['name']}`") if c["name"] in pk else F.lit(None).cast(c["type"])).alias(c["name"]) for c in columns(tx)], F.lit(True).alias(DELETED))
-        changes.append(catalog.write(kept.unionByName(gone), pk))
+        changes.append(catalog.write(kept.unionByName(gone), tx["name"], pk))
     return tx | {"changes": changes}
 
 
@@ -99,7 +99,7 @@ def _merged(catalog: Catalog, source: str, target: str) -> str:
             else:
                 rows = cut(three_way(catalog.rows(tb | {"columns": tx["columns"], "extensions": tx["extensions"]}), catalog.rows(tx), catalog.rows(ty), tx["pk"]))
                 _agreed(rows, tx["pk"], name)
-                pick = tx | {"base": [catalog.write(rows.filter(F.col("__state") == "keep").drop("__state"), tx["pk"])], "changes": []}
+                pick = tx | {"base": [catalog.write(rows.filter(F.col("__state") == "keep").drop("__state"), tx["name"], tx["pk"])], "changes": []}
             both.append(name)
         if pick is not None:
             out[name] = pick

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlake.plans import core, scalars, statements, versioned
+from braidlake.plans import core, scalars, statements, surface, versioned
 
-_MODULES = (core, scalars, statements, versioned)  # each registers its queries
+_MODULES = (core, scalars, statements, surface, versioned)  # each registers its queries
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(core.QUERIES)
 ORACLE: dict[str, str] = dict(core.ORACLE)
 

@@ -38,14 +38,15 @@ def batches(df: DataFrame, size: int = 10_000) -> Iterator[pa.RecordBatch]:
 
 
 def changes(session: Session, table: str) -> DataFrame:
-    """A streaming DataFrame of the change sets under a session's root: the table's columns, whether the row was deleted, and the file.
+    """A streaming DataFrame of a table's change sets: its columns, whether the row was deleted, and the file.
 
-    All data folders of the root are watched, so this is for roots with one table; with more, __file tells the table's own change sets,
-    which its entry lists, from others. Base files have no deletion mark and are left out.
+    These are all that is written for tables of this name, on any branch: a statement's rows show before its commit, and those of one that
+    has failed may show before they are deleted. Base files have no deletion mark and are left out.
     """
     entry = session._entry(table)
     schema = struct(columns(entry)).add(DELETED, "boolean")
-    stream = session.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{session.catalog.root}/data")
+    own = f"{session.catalog.root}/data/{session.catalog.mark(entry['name'])}-*"
+    stream = session.spark.readStream.schema(schema).parquet(own)
     return stream.withColumn("__file", F.col("_metadata.file_path")).filter(F.col(DELETED).isNotNull())
 
 
@@ -67,6 +68,7 @@ def windowed(stream: DataFrame, time: str, size: str, late: str, keys: list[str]
     return stream.withWatermark(time, late).groupBy(w, *keys).agg(*[a.alias(n) for n, a in aggregates.items()])
 
 
-def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
-
+def read(spark: SparkSession, path: str, schema: str, names: str | None = None) -> DataFrame:
+    """A stream of the Parquet files that arrive in a folder. names: a glob pattern of file names."""
+    stream = spark.readStream.schema(schema)
+    return (stream.option("pathGlobFilter", names) if names else stream).parquet(path)

@@ -306,3 +306,23 @@ def test_texts_that_look_like_syntax(s):
     s.sql("create view halves as select id / 2 as h, w from q")
     assert rows(s.sql("select h / 1 as h from halves where w <> '/'")) == [(0,), (1,), (1,)]
     assert s.sql("select count(*) as n, avg(id) / 2 as m, -7 / 2 as k, cast(7 as double) / 2 as d from q").first() == (3, 1.0, -3, 3.5)
+
+
+def test_unparse(spark, s):
+    s.sql("create table p (id bigint primary key, v int)")
+    s.sql("insert into p values (1, 7), (2, null)")
+    text = s.unparse("select id, v / 2 as h from p order by v")
+    assert " div " in text and "nulls last" in text
+    assert rows(s.spark.sql(text)) == rows(s.sql("select id, v / 2 as h from p order by v")) == [(1, 3), (2, None)]
+    fails("0A000", lambda: s.unparse("with recursive r(n) as (select 1 union select n % 3 + 1 from r) select n from r"))
+
+
+def test_expressions_of_constraints_and_upserts(spark, s):
+    s.sql("create table p (id bigint primary key, v int check (v / 2 <> 1), w text)")
+    for v in (2, 3):
+        fails("23514", lambda v=v: s.sql(f"insert into p values (1, {v}, 'a')"))
+    s.sql("insert into p values (1, 4, 'a'), (2, null, null)")
+    s.sql("insert into p values (1, 9, 'b'), (2, 9, 'b') on conflict (id) do update set v = excluded.v / 2, w = concat(w, excluded.w, null) where id / 2 = 0")
+    assert sorted(rows(s.sql("select * from p"))) == [(1, 4, "ab"), (2, None, None)]
+    fails("42703", lambda: s.sql("insert into p values (1, 9, 'b') on conflict (id) do update set v = nothing"))
+    assert not [x for x in s.spark.catalog.listTables("global_temp") if x.name.startswith("__dml")]
