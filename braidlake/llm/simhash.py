@@ -25,6 +25,8 @@ SIMILAR = 0.8
 SLACK = 0.04
 #: Rows and bytes of shingles of a tile of a group of candidates.
 TILE_ROWS, TILE_BYTES = 1024, 16_000_000
+#: Tasks over which the rows of one group of candidates are spread where they are joined with what is known of the group.
+SALTS = 16
 #: Bits whose correlations the banded plan looks at together.
 BLOCK = 320
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # value of a byte -> its bits, lowest first
@@ -379,6 +381,13 @@ def in_tile_pairs(rows: DataFrame, tiles: Column, group: str, node: str) -> Data
     return t.withColumn("key", F.xxhash64(group, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__t", "__i", "__j")
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, group: str, node: str) -> DataFrame:
+    """rows joined with facts, one row per group: each fact stands under SALTS numbers and each row asks for one of them, so a large group's rows meet theirs in as many tasks."""
+    own = rows.withColumn("__s", F.pmod(F.xxhash64(node, F.lit(SEED)), F.lit(SALTS)).cast("int"))
+    each = facts.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(each, [group, "__s"]).drop("__s")
+
+
 def linked(fps: DataFrame, n: int, distance: int, bits: int, plan: tuple[list[list[int]], list[int]], exact: bool = True, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) of ids that connect the candidates within `distance` differing bits. fps: (id, fp), each fp once.
 
@@ -509,7 +518,7 @@ def similar_sets(df: DataFrame, found: DataFrame, id_col: str, text_col: str, sh
     key = ["id", "th"] if "th" in found.columns else ["id"]
     one = found.groupBy("grp", "shs").agg(F.min(F.struct(*key)).alias("row"))
     many = one.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = stored(one.join(many, "grp").select("row.*", "shs", "grp"), "asked")
+    asked = stored(spread_join(one, many, "grp", "shs").select("row.*", "shs", "grp"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -520,7 +529,7 @@ def similar_sets(df: DataFrame, found: DataFrame, id_col: str, text_col: str, sh
     # without th an id may have several texts: only the one that was asked for
     sets = stored(texts.select("shs", "grp", "text").mapInArrow(run, "shs long, grp long, own long, shingles binary").filter("own = shs").select("shs", "grp", "shingles"), "shingles")
     sizes = sets.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.length("shingles")) / TILE_BYTES)).alias("tiles"))
-    dealt = in_tile_pairs(sets.join(sizes, "grp"), F.col("tiles"), "grp", "shs")
+    dealt = in_tile_pairs(spread_join(sets, sizes, "grp", "shs"), F.col("tiles"), "grp", "shs")
     edges = dealt.select("key", "shs", "shingles").repartition(shuffle_width(df.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_similar_in(least), "a long, b long")
     return components(edges)
 
